@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +37,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def remainder(column: str, divisor: int) -> Column:
+    """crc32 of the value as text, modulo ``divisor``; null values count as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+class Remembered(dict):
+    """A bounded table of computed values: two generations, of which the older is let go when full.
+
+    Strings of over ``longest`` characters are computed anew each time.
+    """
+
+    def __init__(self, make: Callable, bound: int, longest: int = 40):
+        super().__init__()
+        self.make, self.bound, self.longest, self.older = make, bound, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, str) and len(key) > self.longest:
+                return value
+        if len(self) >= self.bound // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
