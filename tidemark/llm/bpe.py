@@ -13,8 +13,10 @@ Spark spreads the texts over tasks. A worker holds one encoder and a bounded tab
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import Remembered, text_or_empty
 
 #: Fixed: how byte-level vocabularies of this family split a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -66,9 +68,11 @@ class BacktrackingEncoder:
                 self.matcher.add_word(token, (len(token), i))
         self.matcher.make_automaton()
         self.pieces = regex.compile(PIECES)
-        self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        top = 1 + max([*self.entry, *added.values()])
+        #: By left * top + right, if the merges leave such a pair as it is.
+        self.pairs = Remembered(self._compatible, REMEMBERED)
+        self.known = Remembered(self._piece, REMEMBERED)
+        self.spaced = Remembered(lambda word: self._run(" " + word), REMEMBERED)
+        self.top = top = 1 + max([*self.entry, *added.values()])
         texts = [b""] * top
         for i, t in self.entry.items():
             texts[i] = t.encode("latin-1")
@@ -90,66 +94,56 @@ class BacktrackingEncoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            a, b = self.entry[left], self.entry[right]
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
-        return known
+    def _compatible(self, pair: int) -> bool:
+        left, right = self.entry[pair // self.top], self.entry[pair % self.top]
+        return self.merged(left + right) == [left, right]
 
     def encode_piece(self, piece: str) -> list[int]:
         """``piece``: bytes as Latin-1 text."""
-        whole = self.vocab.get(piece)
-        if whole is not None and self.matcher.exists(piece):
-            return [whole]
-        size = len(piece)
+        size, pairs, top = len(piece), self.pairs, self.top
         at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (length, i) in self.matcher.iter(piece):
-            at[end + 1 - length].append((length, i))  # shorter ones first
+        for end, found in self.matcher.iter(piece):
+            at[end + 1 - found[0]].append(found)  # shorter ones first
         dead = bytearray(size + 1)
         path: list[int] = []
-        places = [0]
-        left = [len(at[0])]
-        while places[-1] < size:
-            here, k = places[-1], left[-1] - 1
-            while k >= 0:
-                length, i = at[here][k]
-                if not dead[here + length] and (not path or self.compatible(path[-1], i)):
+        places, here = [], 0
+        left = at[0]
+        waiting: list[list[tuple[int, int]]] = []
+        while here < size:
+            while left:
+                length, i = left.pop()
+                if not dead[here + length] and (not path or pairs[path[-1] * top + i]):
+                    path.append(i)
+                    places.append(here)
+                    waiting.append(left)
+                    here += length
+                    left = at[here][:] if here < size else []
                     break
-                k -= 1
-            left[-1] = k
-            if k >= 0:
-                path.append(i)
-                places.append(here + length)
-                left.append(len(at[here + length]) if here + length < size else 0)
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks single bytes")
                 dead[here] = 1
-                path.pop(), places.pop(), left.pop()
+                path.pop()
+                here, left = places.pop(), waiting.pop()
         return path
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.encode_piece(piece.encode().decode("latin-1"))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 40:
-            self.known[piece] = out
-        return out
+        return array("I", self.encode_piece(piece.encode().decode("latin-1"))).tobytes()
+
+    def _run(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
+
+    def _ordinary(self, text: str) -> bytes:
+        """No piece goes on from another character into a space, so where spaces stand alone, each begins a piece."""
+        if "  " in text:
+            return self._run(text)
+        first, *words = text.split(" ")
+        return b"".join([self._run(first), *map(self.spaced.__getitem__, words)])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; strings of added tokens in it count as these tokens."""
-        known, found = self.known, []
         parts = self.split_added.split(text) if self.split_added else [text]
-        for n, part in enumerate(parts):
-            if n % 2:
-                found.append(self.added[part])
-            else:
-                found += [known.get(p) or self._piece(p) for p in self.pieces.findall(part)]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.frombuffer(b"".join([self.added[part] if n % 2 else self._ordinary(part) for n, part in enumerate(parts)]), "<u4")
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Gathers the entries' bytes by their offsets."""
@@ -167,7 +161,9 @@ class BacktrackingEncoder:
 @functools.lru_cache(2)
 def encoder(path: str) -> BacktrackingEncoder:
     """One for each vocabulary and worker."""
-    return BacktrackingEncoder(path)
+    made = BacktrackingEncoder(path)
+    gc.freeze()  # the tables live as long as the worker
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
