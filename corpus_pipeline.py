@@ -1,8 +1,79 @@
-"""A corpus pipeline out of the operators of ``tidemark.llm``."""
+"""A corpus pipeline out of the operators of ``tidemark.llm``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and
+reads again for the next one. All stages but the last return the columns of their documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, quality, secrets, simhash
+from tidemark.llm._common import free_name, remainder, table
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``; a null id equals a null id."""
+    key = free_name(docs.columns, "kept_id")
+    kept = ids.select(F.col("doc_id").alias(key))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects. It learns from labels of four fifths of the ids."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return _keep(docs, quality.score_quality(docs, model).where("predicted = 1"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group, once; without ids, one document of a group stays."""
+    found = simhash.near_duplicates(docs)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _keep(docs, firsts).dropDuplicates(["doc_id"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents with a window of a benchmark item."""
+    report = decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
+    return _keep(docs, report.where("NOT contaminated"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts ``<secret>`` in place of secrets; a null text becomes an empty one."""
+    clean = secrets.redact_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded text."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("BPE encoding", encoding_stage),
+]
+#: Most stages are no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``.
+
+    The tables between the stages go to the shared folder named in ``spark.checkpoint.dir``, or to a
+    temporary folder where it is unset, as in tests.
+    """
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -117,3 +117,20 @@ def secret_report(docs: DataFrame, path: str, **options) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+def redact_column(docs: DataFrame, path: str, text_col: str = "text", ratio: float = RATIO) -> DataFrame:
+    """``docs`` with its texts redacted in place; all other columns stay as they are.
+
+    A null text becomes an empty one; repeated rows stay, an empty table gives an empty one.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = vocabulary(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            clean = pa.array([redact(t, find_spans(t, encoding, ratio)) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([clean if k == place else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
