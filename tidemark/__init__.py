@@ -1,0 +1 @@
+"""Versioned vector collections on Spark: an append-only log, and all its views as DataFrames."""
