@@ -19,7 +19,8 @@ def folder(spark, odd_docs, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
     odd = odd_docs.select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 10_000)
-    docs.union(odd).write.parquet(f"{path}/documents.parquet")
+    secret = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") - 1000).withColumn("text", F.concat("text", F.lit(' password = "hunter22xx"')))
+    docs.union(odd).union(secret).write.parquet(f"{path}/documents.parquet")
     for name in ("labels", "benchmark"):
         shutil.copy(f"{SAMPLE}/{name}.parquet", path)
     return str(path)
