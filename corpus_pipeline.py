@@ -17,30 +17,29 @@ from tidemark.llm import bpe, decontaminate, quality, secrets, simhash
 from tidemark.llm._common import free_name, remainder, table
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; a null id equals a null id."""
-    key = free_name(docs.columns, "kept_id")
-    kept = ids.select(F.col("doc_id").alias(key))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects. It learns from labels of four fifths of the ids."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return _keep(docs, quality.score_quality(docs, model).where("predicted = 1"))
+    return quality.keep_good(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group, once; without ids, one document of a group stays."""
-    found = simhash.near_duplicates(docs)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _keep(docs, firsts).dropDuplicates(["doc_id"])
+    """Keeps of each group the document with the least id, documents without an id last.
+
+    Rows are told apart by id and content, so rows without an id or with the same one are documents
+    of their own, and of rows that are wholly equal one stays.
+    """
+    key = free_name(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64(*docs.columns).alias("content")))
+    found = simhash.near_duplicates(keyed, id_col=key)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
+    same = keyed[key].eqNullSafe(firsts[key])
+    return keyed.join(firsts, same, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents with a window of a benchmark item."""
-    report = decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, report.where("NOT contaminated"))
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import shutil
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ def folder(spark, odd_docs, tmp_path_factory):
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
     odd = odd_docs.select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 10_000)
     secret = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") - 1000).withColumn("text", F.concat("text", F.lit(' password = "hunter22xx"')))
-    docs.union(odd).union(secret).write.parquet(f"{path}/documents.parquet")
+    nameless = docs.where("doc_id = 21").withColumn("doc_id", F.lit(None).cast("bigint"))
+    docs.where("doc_id <> 21").union(nameless).union(odd).union(secret).write.parquet(f"{path}/documents.parquet")
     for name in ("labels", "benchmark"):
         shutil.copy(f"{SAMPLE}/{name}.parquet", path)
     return str(path)
@@ -47,10 +49,10 @@ def test_stages_against_brute_force(spark, folder):
             root = slow_components(range(len(before)), [(i, j) for i in range(len(before)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
             groups = {}
             for i, r in enumerate(before):
-                best = groups.setdefault(root[i], r)
-                if best["doc_id"] is None or r["doc_id"] is not None and r["doc_id"] < best["doc_id"]:
-                    groups[root[i]] = r
-            want = list(groups.values())
+                groups.setdefault(root[i], []).append((r["doc_id"] is None, r["doc_id"] or 0, repr(r)))
+            least = {g: min(rows) for g, rows in groups.items()}
+            want = [next(r for r in before if repr(r) == least[g][2]) for g in groups]
+            assert sum(r["doc_id"] is None for r in want) == 2
             assert len(want) < len(before)
         elif k == 2:
             bad = {r[0] for r in slow_contamination([(r["doc_id"], r["text"]) for r in before], [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]) if r[-1]}
@@ -65,7 +67,8 @@ def test_stages_against_brute_force(spark, folder):
             assert any("<secret>" in r["text"] for r in want)
         else:
             own = bpe.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-            assert sorted((r["doc_id"], own.decode(__import__("numpy").array(r["ids"], "u4"))) for r in after) == sorted((r["doc_id"], r["text"]) for r in before)
+            decoded = [(r["doc_id"], own.decode(np.array(r["ids"], "u4"))) for r in after]
+            assert key(decoded) == key([(r["doc_id"], r["text"]) for r in before])
             want = after
         assert key(after) == key(want)
 

@@ -107,6 +107,14 @@ def _scan_all(frame: DataFrame, rows: list, size: int, keep_text: bool) -> DataF
     return frame.mapInArrow(run, f"doc_id {id_type}, n_words bigint, spans {SPANS}, item_ids array<string>" + ", text string" * keep_text)
 
 
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items as (id, text) lists of about ``block_bytes`` of text each, dealt by a hash."""
+    texts = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
+    blocks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+    for n in range(blocks):
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = 32_000_000, keep_text: bool = False) -> DataFrame:
     """Where whole texts hold windows of benchmark items.
 
@@ -118,13 +126,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     read.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("item_ids"))
-    texts = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    for n in range(blocks):
-        rows = [tuple(r) for r in texts.where(block == n).collect()]  # bounded by block_bytes
-        last = n == blocks - 1
+    blocks = list(item_blocks(items, item_col, item_text_col, block_bytes))
+    for n, rows in enumerate(blocks):
+        last = n == len(blocks) - 1
         chosen = _scan_all(chosen, rows, size, keep_text or not last)
         if not last:
             chosen = cut(chosen)
@@ -144,6 +148,24 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = 32_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item; see ``find_contamination``.
+
+    Each row is judged by itself, so null and repeated ids do no harm; an empty table gives an empty one.
+    """
+    place = docs.columns.index(text_col)
+    for rows in item_blocks(items, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = build(sent.value, size)
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(automaton, t.as_py() or "")[1] for t in batch.column(place)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 #: The report in DuckDB SQL.
 REPORT_SQL = """
 WITH words AS (

@@ -155,3 +155,21 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, id_col: s
 
     scored = chosen.mapInArrow(run, f"doc_id {id_type}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: FactorisationMachine | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more; see ``score_quality``.
+
+    Each row is judged by itself, so null and repeated ids do no harm; an empty table gives an empty one.
+    """
+    text_at, meta_at = docs.columns.index(text_col), [docs.columns.index(c) for c in meta_cols]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = sent.value
+        for batch in batches:
+            meta = zip(*(batch.column(k) for k in meta_at)) if meta_at else ((),) * batch.num_rows
+            scores = [machine.score(*features(t.as_py() or "", tuple(None if m.as_py() is None else float(m.as_py()) for m in row))) if machine else 0.5 for t, row in zip(batch.column(text_at), meta)]
+            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
