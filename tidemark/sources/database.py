@@ -150,3 +150,24 @@ class Collection:
         if not self.db.make:
             raise ValueError("texts need an encoder")
         return self.search_vector(self.db.make().encode([text])[0].tolist(), k, *filters, clock=clock)
+
+
+def federated_search(databases: list[Database], name: str, query: list[float] | str, k: int, *filters: Column, clock: int | None = None) -> DataFrame:
+    """The best ``k`` over databases that hold shards of one collection, in one job.
+
+    Databases with different encoders don't go together. A text is encoded once.
+    """
+    if len({db.provider for db in databases}) != 1:
+        raise ValueError("the databases use different encoders")
+    if isinstance(query, str):
+        if not databases[0].make:
+            raise ValueError("texts need an encoder")
+        query = databases[0].make().encode([query])[0].tolist()
+    return merge.merge_shards([db.collection(name).search_vector(query, k, *filters, clock=clock) for db in databases], k)
+
+
+def put_routed(databases: dict[str, Database], name: str, rows: DataFrame, order: str = "id") -> None:
+    """Writes each row to the database of the member that owns its id."""
+    owned = rows.withColumn("owner", merge.owner_of(F.lit(name), F.col("id"), list(databases)))
+    for member, db in databases.items():
+        db.collection(name).put(owned.where(F.col("owner") == member).drop("owner"), order)
