@@ -202,5 +202,9 @@ def test_pii_surrogates_are_distinct(spark):
     rows = pii.surrogate_table(spark.createDataFrame(values, "kind string, value string"), "k").collect()
     new = {r.surrogate for r in rows}
     assert len(new) == len(rows) == 2000 and not new & {v for _, v in values}
+    cards = [("card", c) for c in ("4539578763621486", "4539 5787 6362 1486", "4539578763621487", "6011000990139424")]
+    total = lambda c: sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(c.replace(" ", "")))) % 10
+    for r in pii.surrogate_table(spark.createDataFrame(cards, "kind string, value string"), "k").collect():
+        assert (total(r.surrogate) == 0) >= (total(r.value) == 0) and [c == " " for c in r.surrogate] == [c == " " for c in r.value]
     short = spark.createDataFrame([("digits", str(k)) for k in range(5)], "kind string, value string")
     assert {r.surrogate for r in pii.surrogate_table(short, "k").collect()} == set("56789")  # only five are free

@@ -73,6 +73,20 @@ def _replaced(value: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def luhn(digits: Column) -> Column:
+    """The checksum of a card number's digits; 0 for a valid one."""
+    doubled = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda d: d != ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(doubled, F.lit(0), lambda a, b: a + b) % 10
+
+
+def _card(value: Column, drawn: Column) -> Column:
+    """A drawn number; if the original passes its checksum, with the last digit that makes it pass too."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    last = (10 - luhn(F.concat(digits(body), F.lit("0")))) % 10
+    return F.when(luhn(digits(value)) == 0, F.concat(body, last.cast("string"))).otherwise(drawn)
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     """The candidate of one draw: same kind, same layout."""
     seed = lambda what, of: F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), F.lit(str(attempt)), of), 256)
@@ -92,7 +106,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     family_alone = (family == "") | ~given.rlike("^[A-Za-z]+$")  # one name after a form of address is a family name
     name = F.concat(title, F.when(family_alone, _replaced(rest, seed("name", value))).otherwise(F.concat(gendered, _replaced(family, seed("name", value)))))
     digits = _replaced(value, seed("digits", value))
-    return F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).otherwise(digits)
+    return F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).when(kind == "card", _card(value, digits)).otherwise(digits)
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
