@@ -325,6 +325,21 @@ def collection_stats(spark, sf_dir):
     return totals.join(last, "collection").select("collection", "versions", "ids", "live", "clock")
 
 
+@query(f"WITH {ELOG} SELECT id, lamport, text FROM elog WHERE lamport > 600")
+def log_tail(spark, sf_dir):
+    return event_log(spark, sf_dir).where("lamport > 600").select("id", "lamport", "text")
+
+
+@query(f"""WITH {ELOG} SELECT lamport, '{{"event_type":"' || event_type || '"}}' AS metadata FROM elog""")
+def metadata_json(spark, sf_dir):
+    return event_log(spark, sf_dir).select("lamport", F.to_json("metadata").alias("metadata"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.inner_product(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
 @query()
 def quantized_topk(spark, sf_dir):
     table = quantize.quantized(vectors(spark, sf_dir), 64, bits=4, seed=77)
