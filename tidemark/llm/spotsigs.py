@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, text_or_empty
+from ._common import cut, let, text_or_empty
 
 #: Fixed: common words that serve as anchors.
 ANCHORS = (
@@ -29,13 +29,21 @@ ANCHORS = (
 THRESHOLD = 0.8
 
 
+def anchor_pattern() -> str:
+    """A common word before a space, as a whole; alternatives are grouped by their first letter."""
+    groups: dict[str, set[str]] = {}
+    for word in ANCHORS:
+        groups.setdefault(word[0], set()).add(word[1:])
+    return "(?<![^ ])(" + "|".join(f"{first}(?:{'|'.join(sorted(rest, key=len))})" for first, rest in sorted(groups.items())) + ") "
+
+
 def signatures(text: Column) -> Column:
     """The sorted set of a text's spots, hashed; of a text without a spot, the hash of the text."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "))
-    tied = F.split(F.regexp_replace(words, f"(?<![^ ])({'|'.join(sorted(set(ANCHORS)))}) ", "$1~"), " ")
+    tied = F.split(F.regexp_replace(words, anchor_pattern(), "$1~"), " ")
     spot = lambda t, after: F.when(F.contains(t, F.lit("~")) & after.isNotNull(), F.xxhash64(F.substring_index(t, "~", -2), F.substring_index(after, "~", -1)))
-    spots = F.sort_array(F.array_distinct(F.array_compact(F.zip_with(tied, F.slice(tied, F.lit(2), F.size(tied)), spot))))
-    return F.when(F.size(spots) > 0, spots).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
+    spots = let(tied, lambda t: F.sort_array(F.array_distinct(F.array_compact(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), spot)))))
+    return let(spots, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.xxhash64(text, F.lit("whole")))))
 
 
 def fingerprint(spots: Column) -> Column:
@@ -44,8 +52,7 @@ def fingerprint(spots: Column) -> Column:
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     """Jaccard similarity of two sets; 0 unread where their lengths put it below ``threshold``."""
-    shared = F.size(F.array_intersect(a, b))
-    exact = shared / (F.size(a) + F.size(b) - shared)
+    exact = let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared))
     return F.when(F.least(F.size(a), F.size(b)) < threshold * F.greatest(F.size(a), F.size(b)), 0.0).otherwise(exact)
 
 
