@@ -50,7 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded text."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
 
 
 STAGES = [

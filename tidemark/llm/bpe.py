@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, text_or_empty
+from ._common import Remembered, slices, text_or_empty
 
 #: Fixed: how byte-level vocabularies of this family split a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -166,22 +166,22 @@ def encoder(path: str) -> BacktrackingEncoder:
     return made
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Encodes and decodes each whole text.
 
     Returns a row for each row of ``docs``: the id, ``n_tokens``, ``ids_sha256`` (of the decimal
-    ids joined by commas), ``decoded_sha256`` and, with ``keep_ids``, ``ids`` and ``decoded``.
+    ids joined by commas), ``decoded_sha256``, with ``keep_ids`` ``ids`` and with ``keep_text`` ``decoded``.
     A null text counts as empty and an empty text has no tokens. Null ids and repeated rows stay
     as they are, an empty table gives an empty one, other columns are not read.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     id_type = chosen.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path)
         digits = [str(i) for i in range(len(codec.starts))]
-        for batch in batches:
+        for batch in slices(batches):
             counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())
@@ -191,12 +191,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 text_hashes.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
                     all_ids.append(ids.astype(np.int32))
+                if keep_text:
                     texts.append(decoded)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_text:
+                columns.append(pa.array(texts, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return chosen.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, text_or_empty
+from ._common import cut, slices, text_or_empty
 
 #: Fixed: words are runs of digits, letters a-z and anything beyond ASCII.
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -159,7 +159,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             automaton = build(sent.value, size)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not scan(automaton, t.as_py() or "")[1] for t in batch.column(place)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

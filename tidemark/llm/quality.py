@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import slices, text_or_empty
 
 WORDS = 2048
 FACTORS = 8
@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, model: FactorisationMachine | None, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             meta = zip(*(batch.column(k) for k in meta_at)) if meta_at else ((),) * batch.num_rows
             scores = [machine.score(*features(t.as_py() or "", tuple(None if m.as_py() is None else float(m.as_py()) for m in row))) if machine else 0.5 for t, row in zip(batch.column(text_at), meta)]
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import slices, text_or_empty
 
 #: Fixed: the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -128,7 +128,7 @@ def redact_column(docs: DataFrame, path: str, text_col: str = "text", ratio: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             clean = pa.array([redact(t, find_spans(t, encoding, ratio)) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([clean if k == place else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
