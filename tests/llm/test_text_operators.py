@@ -34,6 +34,17 @@ def test_bpe_matches_the_library(texts):
         assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_joins_spaces_with_other_whitespace():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.encoder(path)
+    rng = random.Random(5)
+    blanks = [" ", " ", "\u00a0", "\u00a0", "\t", "\n", "\r", "\x85", "\u2003", "\u3000"]
+    runs = [f"x{b}{(' ' + b) * k}{e}y" for b in set(blanks) for k in range(1, 18) for e in ("", " ")]
+    for text in [*runs, *["".join(rng.choice([*blanks, "x", "."]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]]:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.encode("x \u00a0 \u00a0 y").tolist() == [87, 11504, 331]
+
+
 def test_bpe_on_odd_tables(odd_docs, no_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = bpe.encode_documents(odd_docs, path).collect()

@@ -68,6 +68,8 @@ class BacktrackingEncoder:
                 self.matcher.add_word(token, (len(token), i))
         self.matcher.make_automaton()
         self.pieces = regex.compile(PIECES)
+        #: Each whitespace character before a space: there a piece may go on into the space.
+        self.joined = [c + " " for c in map(chr, range(0x10000)) if regex.match(r"\s", c)]
         #: By left * top + right, if the merges leave such a pair as it is.
         self.pairs = Remembered(self._compatible, REMEMBERED)
         self.known = Remembered(self._piece, REMEMBERED)
@@ -134,9 +136,10 @@ class BacktrackingEncoder:
         return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def _ordinary(self, text: str) -> bytes:
-        """No piece goes on from another character into a space, so where spaces stand alone, each begins a piece."""
-        if "  " in text:
-            return self._run(text)
+        """A piece goes on into a space from whitespace only, so where no space follows whitespace, each begins a piece."""
+        for joined in self.joined:
+            if joined in text:
+                return self._run(text)
         first, *words = text.split(" ")
         return b"".join([self._run(first), *map(self.spaced.__getitem__, words)])
 
