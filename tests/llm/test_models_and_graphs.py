@@ -208,3 +208,19 @@ def test_pii_surrogates_are_distinct(spark):
         assert (total(r.surrogate) == 0) >= (total(r.value) == 0) and [c == " " for c in r.surrogate] == [c == " " for c in r.value]
     short = spark.createDataFrame([("digits", str(k)) for k in range(5)], "kind string, value string")
     assert {r.surrogate for r in pii.surrogate_table(short, "k").collect()} == set("56789")  # only five are free
+
+
+def test_pii_places_every_entity(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    short = [f"Mr {c}{v}" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]  # no other name of this layout is free
+    foreign = ["Dr Đỗ", "Mr Արամ", "Dr Čapek-Škoda", "Dr Łoś", "Dr Ærø", "Prof Ёлкин", "Dr Ωάς", "Dr Ⴀႁ", "Dr \U00010400\U00010428", "Dr B山"]
+    values = [("name", v) for v in short + foreign] + [("email", f"{c}@{d}.de") for c in "aeiou" for d in "aeiou"] + [("digits", str(k)) for k in range(10)] + [("card", "4539578763621486"), ("ip", "1.2.3.4")]
+    rows = pii.surrogate_table(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    real, new = {v for _, v in values}, {r.surrogate for r in rows}
+    assert {(r.kind, r.value) for r in rows} == set(values) and len(new) == len(rows) and not new & real
+    names = spark.createDataFrame([(r.value, r.surrogate) for r in rows if r.kind in ("name", "email")], "value string, new string")
+    assert names.where(pii.kind_of(F.col("new")) == pii.kind_of(F.col("value"))).where(F.col("new").rlike(f"^(?:{pii.ANY})$")).count() == names.count()
+    for r in rows:
+        if r.value in foreign:
+            old, made = r.value.split(" ", 1)[1], r.surrogate.split(" ", 1)[1]
+            assert sum(a == b for a, b in zip(old, made) if a.isalpha()) < len(old) and made.count("-") == old.count("-")

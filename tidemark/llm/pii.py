@@ -12,11 +12,12 @@ there; texts without entities never travel.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, text_or_empty
+from ._common import cut, let, text_or_empty
 
 MALE = "Mr|Herrn?|Monsieur|Señor|Sr"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta"
@@ -40,7 +41,23 @@ GIVEN = {
 }
 #: Alphabets within which letters are replaced: vowels by vowels, others by others.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "äöüáéíóúàèìòùâêîôû", "ñçß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
-#: Draws before giving up on an entity whose kind has too few values.
+#: For the other letters of a script, and at the end for those of any other script.
+OTHERS = (
+    (r"\p{IsLatin}", "åæøœšžčćďěňřťůýłńśźżąęőűāēģīķļņūășțğşđðþėįųạảậếệịọốộụữ"),
+    (r"\p{IsGreek}", "άέήίόύώϊϋ"),
+    (r"\p{IsCyrillic}", "ёђѓєѕіїјљњћќўџґқңүұһәө"),
+    (r"\p{IsArmenian}", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"),
+    (r"\p{IsGeorgian}", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsDevanagari}", "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조구누두루무부수우주"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろ"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロ"),
+    (r"\p{IsHan}", "安白成德方光国海华建江金军兰丽林龙美明宁平青庆荣山生胜水天文武祥新兴秀雪英永玉云志中"),
+    (r"\p{L}", "bcdfghjklmnpqrstvwxyz"),
+)
+#: Draws in an entity's own layout; after them it grows by one character a draw.
 ATTEMPTS = 100
 
 
@@ -53,7 +70,7 @@ def kind_of(value: Column) -> Column:
     return reduce(lambda rest, kind: F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(rest), reversed(PATTERNS), F.lit("name"))
 
 
-def _draw(seed: Column, place: Column, choices: int) -> Column:
+def _draw(seed: Column, place: Column, choices: int | Column) -> Column:
     """A keyed number from 0 to ``choices`` - 1 for a place of a string: four hex digits of a digest."""
     block = F.sha2(F.concat_ws("|", seed, F.floor(place / 16).cast("string")), 256)
     return F.conv(F.substring(block, (place % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int") % choices
@@ -64,11 +81,15 @@ def _replaced(value: Column, seed: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         lower = F.lower(c)
-        out = F.when(c.between("0", "9"), _draw(seed, i, 10).cast("string"))
+        known = F.when(c.between("0", "9"), F.lit("0123456789"))
         for letters in ALPHABETS:
-            new = F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
-            out = out.when(F.contains(F.lit(letters), lower), F.when(c == lower, new).otherwise(F.upper(new)))
-        return out.otherwise(c)
+            known = known.when(F.contains(F.lit(letters), lower), F.lit(letters))
+        for script, letters in OTHERS:
+            known = known.when(c.rlike(f"^{script}$") & c.rlike(r"^\p{L}$"), F.lit(letters))
+        new = lambda letters: F.substring(letters, _draw(seed, i, F.length(letters)) + 1, F.lit(1))
+        capital = (c != lower) | c.rlike(r"^[\p{Lu}\p{Lt}]$")
+        cased = lambda n: F.when(capital & (F.length(F.upper(n)) == 1), F.upper(n)).otherwise(n)
+        return F.when(c == "", c).otherwise(let(known, lambda letters: F.when(letters.isNull(), c).otherwise(let(new(letters), cased))))
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -87,14 +108,24 @@ def _card(value: Column, drawn: Column) -> Column:
     return F.when(luhn(digits(value)) == 0, F.concat(body, last.cast("string"))).otherwise(drawn)
 
 
+def lengthened(kind: Column, value: Column, extra: int) -> Column:
+    """``value`` with ``extra`` more characters to draw, different for different values; an ip address stays."""
+    grown = F.when(kind == "name", F.concat(value, F.repeat(F.lower(F.right(value, F.lit(1))), F.lit(extra)))).when(kind == "email", F.concat(F.lit("x" * extra), value))
+    return grown.when(kind == "card", F.concat(F.lit("0" * extra), value)).when(kind == "ip", value).otherwise(F.concat(value, F.lit("0" * extra)))
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
-    """The candidate of one draw: same kind, same layout."""
+    """The candidate of one draw: same kind, same layout; from draw ``ATTEMPTS`` on a longer one."""
+    extra = max(0, attempt - ATTEMPTS + 1)
+    if extra:
+        value = lengthened(kind, value, extra)
     seed = lambda what, of: F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), F.lit(str(attempt)), of), 256)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     email = F.concat(_replaced(local, seed("email", value)), F.lit("@"), _replaced(host, F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)), top)
     octets = F.transform(F.split(value, r"\."), lambda o, i: (_draw(seed("ip", value), i, 254) + 1).cast("string"))
+    ip = F.concat(F.array_join(octets, "."), _replaced(F.lit("0" * extra), seed("ip more", value))) if extra else F.array_join(octets, ".")
     country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-])|)", 1)
     phone = F.concat(country, _replaced(F.substring(value, F.length(country) + 1, F.length(value)), seed("phone", value)))
     iban = F.concat(F.substring(value, 1, 2), _replaced(F.substring(value, F.lit(3), F.length(value)), seed("iban", value)))
@@ -106,28 +137,29 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     family_alone = (family == "") | ~given.rlike("^[A-Za-z]+$")  # one name after a form of address is a family name
     name = F.concat(title, F.when(family_alone, _replaced(rest, seed("name", value))).otherwise(F.concat(gendered, _replaced(family, seed("name", value)))))
     digits = _replaced(value, seed("digits", value))
-    return F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).when(kind == "card", _card(value, digits)).otherwise(digits)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).when(kind == "card", _card(value, digits)).otherwise(digits)
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
     """``kind``, ``value``, ``surrogate`` for each distinct entity of ``found`` (``kind``, ``value``).
 
     A surrogate is given to one entity only and is itself no entity of the table. Of entities that
-    draw the same candidate the least keeps it, and the others draw again.
+    draw the same candidate the least keeps it, and the others draw again. Where a layout has too
+    few values, candidates grow longer, so each entity gets one in the end.
     """
     real = cut(found.groupBy("kind", "value").agg(F.count("*").alias("n")).select("kind", "value"))
     given, waiting = None, real
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         drawn = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, attempt))
         free = drawn.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if given is not None:
             free = free.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
-        given = cut(won if given is None else given.union(won))
-        waiting = cut(real.join(given, ["kind", "value"], "left_anti"))
+        won = cut(won)
+        given = won if given is None else cut(given.union(won))
+        waiting = cut(waiting.join(won, ["kind", "value"], "left_anti"))
         if waiting.isEmpty():
             return given
-    raise ValueError(f"a kind of entity has too few values for its surrogates after {ATTEMPTS} draws")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
