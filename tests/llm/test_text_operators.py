@@ -134,3 +134,14 @@ def test_secrets(spark, odd_docs, no_docs):
         assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
     assert [r.redacted for r in secrets.scan_secrets(docs, path, keep_text=True).where("doc_id = 4").collect()] == ["<secret>"]
     assert secrets.secret_report(odd_docs, path).count() == 10 and secrets.secret_report(no_docs, path).count() == 0
+
+
+def test_secrets_of_letters_and_short_ones():
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, size in ((letters, 16), (letters, 20), (letters, 40), (letters + "0123456789", 16), (letters + "0123456789+/", 20)):
+        strings = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(300)]
+        caught = [secrets.find_spans(f"key {s} end", encoding) == [("random", 4, 4 + size)] for s in strings]
+        assert sum(caught) >= 0.98 * len(strings)
+    for plain in ("2024-01-01/2024-01-02", "=-=-=-=-=-=-=-=-=-=-", "1234567890123456", "understandingandresponsibility", "/usr/local/share/information", "well-known-international-organisation"):
+        assert secrets.find_spans(plain, encoding) == []

@@ -24,10 +24,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: Strings that the test looks at.
-UNBROKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Digests (MD5, SHA-1, SHA-2 in hex), UUIDs and plain numbers are no secrets.
-KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9]+)", re.IGNORECASE | re.ASCII)
+#: Strings that the test looks at. Shorter ones are too often words.
+UNBROKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Digests (MD5, SHA-1, SHA-2 in hex), UUIDs, and strings without a letter (numbers, dates, rules) are no secrets.
+KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+)", re.IGNORECASE | re.ASCII)
 #: How byte-pair ranks of this family split a text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fewer characters for each token than this count as random.
@@ -42,10 +42,8 @@ def vocabulary(path: str) -> tiktoken.Encoding:
 
 
 def looks_random(string: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> bool:
-    """Letters and digits mixed, no known digest or identifier, few characters a token."""
-    if KNOWN.fullmatch(string) or not re.search("[0-9]", string) or not re.search("[A-Za-z]", string):
-        return False
-    return len(string) < ratio * len(encoding.encode_ordinary(string))
+    """No known digest or identifier, few characters a token."""
+    return not KNOWN.fullmatch(string) and len(string) < ratio * len(encoding.encode_ordinary(string))
 
 
 def find_spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
