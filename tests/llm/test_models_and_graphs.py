@@ -179,6 +179,19 @@ def test_url_propagation(spark):
     assert [rows[k].distrust for k in (2, 3, 6)] == pytest.approx(want.tolist()) and rows[4].trust == pytest.approx(0.15 * 0.85)
 
 
+def test_url_propagation_reaches_far_hosts(spark):
+    chain = 20  # each links to the next, the last to a blocked host; the first two also link to each other
+    links = [(f"h{k}.org", f"h{k + 1}.org" if k + 1 < chain else "bad.net") for k in range(chain)] + [("h1.org", "h0.org")]
+    hosts = ["bad.net", *[f"h{k}.org" for k in range(chain)]]
+    pages = [(0, "http://bad.net/es/", None)] + [(k + 1, f"http://h{k}.org/", " ".join(f'<a href="http://{b}/">' for a, b in links if a == f"h{k}.org")) for k in range(chain)]
+    rows = {r.host: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    backward = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        backward[hosts.index(a), hosts.index(b)] = 1 / sum(t == b for _, t in links)
+    want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * backward, 0.15 * np.eye(len(hosts))[0])
+    assert [rows[h].distrust for h in hosts] == pytest.approx(want.tolist(), rel=1e-5) and {r.verdict for r in rows.values()} == {"block"}
+
+
 def test_pii(spark, odd_docs, no_docs):
     texts = [
         "Mail und.34@mail7.example.com, again und.34@mail7.example.com. Call +1 (017) 555-7713 or 152.143.123.131!", "und.34@mail7.example.com", "x 4785380592391139$$$ y", "Dear Mrs. Anna Schmidt and Mr Paul Schmidt,", "Mrs. Anna Schmidt wrote", "SSN 123-45-6789.",

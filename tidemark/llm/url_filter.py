@@ -8,6 +8,7 @@ passes a threshold.
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,8 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: Propagation ends when three rounds raise no host's trust or distrust by more than this part of it.
+TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,8 +64,12 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("source", host_and_path(F.col("link"))[0].alias("target")).where("target <> '' AND target <> source").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host``, ``trust`` and ``distrust`` after ``rounds`` rounds.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host``, ``trust`` and ``distrust``, carried on until no host changes.
+
+    Masses only grow, and the largest relative growth never rises from round to round, so a host that
+    is still to be reached, or reached by more, shows as growth on the way to it. The loop ends once
+    no new host was reached and all growth in three rounds is within ``tolerance``.
 
     ``seeds`` has ``host``, ``trust`` and ``distrust``, one row for each host. Hosts that nothing
     reaches are left out; without links the seeds come back, damped.
@@ -76,16 +82,22 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = cut(seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust").cast("double"), F.lit("distrust"), F.col("distrust").cast("double"))).alias("kind", "mass")).where("mass > 0").withColumn("mass", (1 - damping) * F.col("mass")))
     mass = start
     if not edges.isEmpty():
-        for k in range(1, rounds + 1):
+        before = start
+        for k in count(1):
             carried = mass.join(edges, ["kind", "host"]).select(F.col("target").alias("host"), "kind", (damping * F.col("mass") * F.col("share")).alias("mass"))
             mass = carried.union(start.select("host", "kind", "mass")).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
-            if k % 3 == 0 or k == rounds:
+            if k % 3 == 0:
                 mass = cut(mass)
+                old = before.select("host", "kind", F.col("mass").alias("old"))
+                grown = mass.where("mass > 0").join(old, ["host", "kind"], "left").agg(F.max(1 - F.coalesce("old", F.lit(0.0)) / F.col("mass"))).first()[0]
+                if grown is None or grown <= tolerance:
+                    break
+                before = mass
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return mass.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, damping: float = DAMPING, rounds: int = ROUNDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, damping: float = DAMPING, tolerance: float = TOLERANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Judges each page's url.
 
     Returns a row for each row of ``pages``: ``page_id``, ``host``, ``path``, ``rule`` (null if none
@@ -101,7 +113,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: flo
     ruled = parsed.withColumns({"rule": name, "ruling": verdict})
     share = lambda kind: (F.count_if(F.col("ruling") == kind) / F.count("*"))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scored = cut(propagate(host_links(pages, url_col, html_col), seeds, damping, rounds))
+    scored = cut(propagate(host_links(pages, url_col, html_col), seeds, damping, tolerance))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     own = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
     return ruled.join(scored, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruling", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
