@@ -26,6 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the least id, documents without an id last.
 
+    Near is as in ``op3_simhash``, whose contract the stage follows: shingles of three words and at most
+    3 of 64 bits apart. Most copies of a similarity of 0.8 to 0.95 are further apart and stay (see the README).
+
     Rows are told apart by id and content, so rows without an id or with the same one are documents
     of their own, and of rows that are wholly equal one stays.
     """
