@@ -2,10 +2,11 @@
 
 A sequence of tokens is the BPE encoding of its bytes exactly if each neighbouring pair is: if the
 merges, run over the pair's bytes alone, leave just that pair. So a piece of text is encoded from
-left to right. At each place the longest vocabulary entry that starts there is tried first; it
-stands if it is compatible with the token before it. If none stands, the place is marked dead and
-the last token is taken back for its next shorter one. Each place is given up at most once, so the
-work is linear in the length. Pair checks are kept in a table.
+left to right. At each place the longest vocabulary entry that starts there, found by Aho-Corasick,
+is tried first; it stands if it is compatible with the token before it, or else gives way to the
+longest entry that it starts with. If none stands, the place is marked dead and the last token is
+taken back for its next shorter one. Each place is given up at most once, so the work is linear in
+the length. Pair checks are kept in a table.
 
 Spark spreads the texts over tasks. A worker holds one encoder and a bounded table of pieces.
 """
@@ -16,6 +17,7 @@ import functools
 import gc
 import hashlib
 import json
+import math
 from array import array
 from collections.abc import Iterator
 
@@ -30,8 +32,8 @@ from ._common import Remembered, slices, text_or_empty
 
 #: Fixed: how byte-level vocabularies of this family split a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and pairs that a worker remembers at once.
-REMEMBERED = 300_000
+#: Pieces, pairs and words that a worker remembers at once.
+REMEMBERED, WORDS = 300_000, 600_000
 
 
 def byte_letters() -> list[str]:
@@ -62,19 +64,25 @@ class BacktrackingEncoder:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): n for n, (a, b) in enumerate(pairs)}
         self.vocab, self.entry = vocab, {i: t for t, i in vocab.items()}
+        self.top = top = 1 + max([*self.entry, *added.values()])
+        self.halves = {token: self.halves_of(token) for token in vocab}
+        usual = {token: i for token, i in vocab.items() if self.halves[token]}  # others never come out of the merges
         self.matcher = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if self.merged(token) == [token]:  # others never come out of the merges
-                self.matcher.add_word(token, (len(token), i))
+        #: By id: the length of an entry, and the longest entry that it starts with (-1: none).
+        self.length, self.shorter = [0] * top, [-1] * top
+        for token, i in usual.items():
+            self.matcher.add_word(token, i)
+            self.length[i] = len(token)
+            self.shorter[i] = next((usual[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in usual), -1)
         self.matcher.make_automaton()
         self.pieces = regex.compile(PIECES)
-        #: Each whitespace character before a space: there a piece may go on into the space.
-        self.joined = [c + " " for c in map(chr, range(0x10000)) if regex.match(r"\s", c)]
+        #: Whether each merge comes after those that make its two parts, as in a trained vocabulary.
+        self.ordered = all(self.made_at(part) < n for pair, n in self.rank.items() if self.halves.get("".join(pair)) == pair for part in pair)
+        self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
         #: By left * top + right, if the merges leave such a pair as it is.
         self.pairs = Remembered(self._compatible, REMEMBERED)
         self.known = Remembered(self._piece, REMEMBERED)
-        self.spaced = Remembered(lambda word: self._run(" " + word), REMEMBERED)
-        self.top = top = 1 + max([*self.entry, *added.values()])
+        self.spaced = Remembered(self._spaced, WORDS)
         texts = [b""] * top
         for i, t in self.entry.items():
             texts[i] = t.encode("latin-1")
@@ -84,49 +92,73 @@ class BacktrackingEncoder:
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
-    def merged(self, token: str) -> list[str]:
-        """The merges, run one by one. Only for short strings: entries and pairs of them."""
+    def merges(self, token: str) -> Iterator[list[str]]:
+        """The parts before each merge and at the end. Only for short strings: entries and pairs of them."""
         parts = list(token)
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, 1 << 60) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == 1 << 60:
-                break
+        while True:
+            yield parts
+            ranks = [self.rank.get(pair, math.inf) for pair in zip(parts, parts[1:])]
+            best = min(ranks, default=math.inf)
+            if best == math.inf:
+                return
             k = ranks.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+            parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+
+    def halves_of(self, token: str) -> tuple[str, ...]:
+        """The two parts of the last merge to an entry, itself if it is one byte; empty if the merges don't lead to it."""
+        *before, last = self.merges(token)
+        return () if last != [token] else tuple(before[-1]) if before else (token,)
+
+    def made_at(self, token: str) -> float:
+        """The rank of the last merge to an entry; -1 for a single byte."""
+        return self.rank[self.halves[token]] if len(token) > 1 else -1
+
+    def edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The parts that stand at one end of an entry (side 0 or -1) while it is made, each with the rank of the merge that ends it."""
+        found = self.edges.get((token, side))
+        if found is None:
+            found, part, until = [], token, math.inf
+            while True:
+                found.append((part, until))
+                if len(part) == 1:
+                    break
+                until = self.made_at(part)
+                part = self.halves[part][side]
+            self.edges[token, side] = found
+        return found
 
     def _compatible(self, pair: int) -> bool:
+        """Whether no merge over the border comes up while its two sides stand there. Of equal merges the leftmost is first."""
         left, right = self.entry[pair // self.top], self.entry[pair % self.top]
-        return self.merged(left + right) == [left, right]
+        if not self.ordered:
+            return list(self.merges(left + right))[-1] == [left, right]
+        for a, a_until in self.edge(left, -1):
+            for b, b_until in self.edge(right, 0):
+                rank = self.rank.get((a, b))
+                if rank is not None and rank < a_until and rank <= b_until:
+                    return False
+        return True
 
     def encode_piece(self, piece: str) -> list[int]:
         """``piece``: bytes as Latin-1 text."""
-        size, pairs, top = len(piece), self.pairs, self.top
-        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, found in self.matcher.iter(piece):
-            at[end + 1 - found[0]].append(found)  # shorter ones first
-        dead = bytearray(size + 1)
-        path: list[int] = []
-        places, here = [], 0
-        left = at[0]
-        waiting: list[list[tuple[int, int]]] = []
+        size, longest, length, shorter, pairs, top = len(piece), self.matcher.iter_long, self.length, self.shorter, self.pairs, self.top
+        dead, path, here = bytearray(size + 1), [], 0
+        token = next(longest(piece))[1] if piece else -1
         while here < size:
-            while left:
-                length, i = left.pop()
-                if not dead[here + length] and (not path or pairs[path[-1] * top + i]):
-                    path.append(i)
-                    places.append(here)
-                    waiting.append(left)
-                    here += length
-                    left = at[here][:] if here < size else []
-                    break
+            while token >= 0 and (dead[here + length[token]] or (path and not pairs[path[-1] * top + token])):
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                here += length[token]
+                if here < size:
+                    token = next(longest(piece, here))[1]
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks single bytes")
                 dead[here] = 1
-                path.pop()
-                here, left = places.pop(), waiting.pop()
+                token = path.pop()
+                here -= length[token]
+                token = shorter[token]
         return path
 
     def _piece(self, piece: str) -> bytes:
@@ -135,13 +167,20 @@ class BacktrackingEncoder:
     def _run(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
+    def _spaced(self, word: str) -> bytes | None:
+        """The ids of a space and a word; None where whitespace stands before the next space."""
+        if not word or word[-1].isspace():
+            return None
+        pieces = self.pieces.findall(" " + word)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
+
     def _ordinary(self, text: str) -> bytes:
         """A piece goes on into a space from whitespace only, so where no space follows whitespace, each begins a piece."""
-        for joined in self.joined:
-            if joined in text:
-                return self._run(text)
         first, *words = text.split(" ")
-        return b"".join([self._run(first), *map(self.spaced.__getitem__, words)])
+        found = list(map(self.spaced.__getitem__, words[:-1]))
+        if not words or None in found or first[-1:].isspace():
+            return self._run(text)
+        return b"".join([self._run(first), *found, self._run(" " + words[-1])])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; strings of added tokens in it count as these tokens."""
