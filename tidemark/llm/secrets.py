@@ -54,14 +54,28 @@ def find_spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) ->
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(spans)
+    covered = runs(spans)
+    at = 0
     for m in UNBROKEN.finditer(text):
         a, b = m.span()
-        if not any(a < end and start < b for _, start, end in base) and looks_random(m[0], encoding, ratio):
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if (at == len(covered) or covered[at][0] >= b) and looks_random(m[0], encoding, ratio):
             spans.append(("random", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def runs(spans: list[tuple[str, int, int]]) -> list[list[int]]:
+    """What spans of any kind cover, as disjoint (start, end) in order."""
+    out: list[list[int]] = []
+    for start, end in sorted((a, b) for _, a, b in spans):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """Each run of touching spans gives way to ``<secret>``."""
     out, at = [], 0
@@ -92,7 +106,7 @@ def scan_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(path)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found, texts = [], []
             for text in batch.column(1):
                 text = text.as_py()
