@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -93,14 +94,31 @@ def slow_contamination(docs, items, size=10):
         yield doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [32_000_000, 3000])
-def test_contamination_is_exact(spark, odd_docs, block_bytes):
+@pytest.mark.parametrize("max_nodes", [decontaminate.MAX_NODES, 4000])
+def test_contamination_is_exact(spark, odd_docs, max_nodes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TOGETHER", 2)
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
     items = spark.read.parquet(f"{SAMPLE}/benchmark.parquet").union(spark.createDataFrame([(900, "Cat, AND the"), (900, "Cat, AND the"), (901, None), (902, "?"), (3, "x"), (30, "x")], "item_id bigint, text string"))
-    got = decontaminate.contamination_report(docs, items, block_bytes=block_bytes).collect()
+    got = decontaminate.contamination_report(docs, items, max_nodes=max_nodes).collect()
+    assert decontaminate.item_blocks(items, "item_id", "text", 10, max_nodes)[0] == (1 if max_nodes > 4000 else 8)
     want = slow_contamination([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert sum(r.contaminated for r in got) > 5
+    clean = decontaminate.keep_clean(docs, items, max_nodes=max_nodes)
+    assert clean.columns == docs.columns and clean.count() == sum(not r.contaminated for r in got)
+
+
+def test_contamination_over_segments(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 5)
+    rng = random.Random(8)
+    items = [(str(k), [rng.choice("ab") for _ in range(rng.randint(0, 6))]) for k in range(30)]
+    windows = decontaminate.Windows(items, 4)
+    for _ in range(200):
+        text = "".join(rng.choice("abc.  ") for _ in range(rng.randint(0, 60)))
+        n, ranges, found = windows.scan(text)
+        want = next(slow_contamination([(0, text)], [(i, " ".join(w)) for i, w in items], 4))
+        assert (n, sum(b - a for a, b in decontaminate.merged(ranges)), len(found)) == want[1:4]
 
 
 def test_contamination_spans_and_empty_tables(spark, odd_docs, no_docs):
@@ -136,6 +154,64 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secrets.secret_report(odd_docs, path).count() == 10 and secrets.secret_report(no_docs, path).count() == 0
 
 
+def slow_base(text):
+    """The base spans, read place by place without regular expressions."""
+    lower = "".join(c.lower() if c < "\x80" else c for c in text)
+    found = []
+    run = lambda at, allowed: next((k for k in range(at, len(text)) if text[k] not in allowed), len(text))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    quoted = lambda at: at + 1 if text[at : at + 1] in ("'", '"') else at
+    at = 0
+    while at < len(text):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, at):
+                k = run(quoted(at + len(word)), " ")
+                if text[k : k + 1] in (":", "="):
+                    k = quoted(run(k + 1, " "))
+                    end = run(k, letters + letters.upper() + digits + "+/_.=-")
+                    if end > k:
+                        if end - k >= 8:
+                            found.append((at, 0, f"assign:{at}:{end}"))
+                        at = end - 1
+                        break
+        at += 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = run(at + 4, letters.upper() + digits)
+        if end - at >= 16:
+            found.append((at, 1, f"access:{at}:{end}"))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at, "abcdef" + digits)
+        if end - at >= 32:
+            found.append((at, 2, f"hex:{at}:{end}"))
+        at = end + 1
+    return ",".join(name for _, _, name in sorted(found))
+
+
+def test_base_spans_against_brute_force():
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api", "key", "=", ":", " ", "  ", '"', "'", "AKIA", "AK", "IA", "ABCDEFGH", "0123456789ab", "ab" * 9, "x" * 8, "-_", "é", "\n", "+/=.", "z"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        spans = secrets.find_spans(text, encoding)
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k != "random") == slow_base(text), text
+        base = [s for s in spans if s[0] != "random"]
+        for m in secrets.UNBROKEN.finditer(text):
+            clear = not any(m.start() < b and a < m.end() for _, a, b in base)
+            assert (("random", *m.span()) in spans) == (clear and secrets.looks_random(m[0], encoding))
+
+
+def test_secrets_of_a_log_with_many_assignments():
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = "token = abcdefgh12 and a_rather_long_identifier_here\n" * 20_000
+    began = time.process_time()
+    assert len(secrets.find_spans(text, encoding)) == 20_000
+    assert time.process_time() - began < 5
+
+
 def test_secrets_of_letters_and_short_ones():
     encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
