@@ -1,6 +1,9 @@
 import hashlib
 import random
+import re
+import unicodedata
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,30 +121,71 @@ def test_factorisation_identity():
     assert machine.score(at, values, stats) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
 
 
-def test_spotsigs_edits(spark, odd_docs, no_docs):
-    rows = sorted([tuple(r) for r in odd_docs.select("doc_id", "text").collect()], key=lambda r: (r[0] is not None, r[0] or 0))
-    found = spotsigs.edit_report(odd_docs).collect()
-    got, want = {r.doc_id: r for r in found}, []
+def slow_spots(text):
+    """The signature set of a text, word by word."""
+    words = re.sub(r"[\W_]+", " ", "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in text.lower())).split()
+    anchors, spots = set(spotsigs.ANCHORS), set()
+    content = [k for k, w in enumerate(words) if w not in anchors or k == len(words) - 1]
+    for k, after in zip(content, content[1:]):
+        if k and words[k - 1] in anchors:
+            spots.add(f"{words[k - 1]}~{words[k]}~{words[after]}")
+    return spots or {"=" + hashlib.sha256(text.encode()).hexdigest()}
+
+
+def slow_edits(rows):
+    """(id, text) rows in order; what ``edit_report`` returns."""
+    print_of = lambda spots: hashlib.sha256(",".join(sorted(spots, key=str.encode)).encode()).hexdigest()
     for k, (doc, text) in enumerate(rows):
         text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in found), key=str) == sorted(want, key=str)
-    assert got[1].fingerprint == got[5].fingerprint != got[9].fingerprint and got[4].near_edited > 0.2
+        a, b, c = slow_spots(text), slow_spots(edited), slow_spots(after)
+        yield doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), print_of(a), print_of(b), len(a & b) / len(a | b), len(a & c) / len(a | c)
+
+
+def test_spotsigs_edits(spark, odd_docs, no_docs):
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 50")
+    docs = odd_docs.select("doc_id", "text").union(sample)
+    rows = sorted([tuple(r) for r in docs.collect()], key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted(map(tuple, spotsigs.edit_report(docs).collect()), key=str) == sorted(slow_edits(rows), key=str)
     assert spotsigs.edit_report(no_docs).count() == 0
     one = spotsigs.edit_report(odd_docs.where("doc_id = 1")).collect()
     assert [r.near_next for r in one] == [1.0]
 
 
-def test_spotsigs_order_of_documents(spark):
-    docs = spark.createDataFrame([(i, f"the word{i} of thing{i % 7}") for i in random.Random(1).sample(range(-500, 5000), 900)], "doc_id bigint, text string").repartition(5)
-    rows = sorted(map(tuple, docs.collect()))
-    want = {doc: rows[(k + 1) % len(rows)][1] for k, (doc, _) in enumerate(rows)}
-    assert {r.doc_id: r.next.text for r in spotsigs.with_next(docs, ["text"]).collect()} == want
-
-
-def test_spotsigs_join(spark, no_docs):
+def test_spotsigs_edits_in_sql(spark, odd_docs, tmp_path):
+    docs = odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates().union(spark.createDataFrame([(20, "the a of"), (21, "der Hund und das Haus und"), (22, "Œuvre ÄRGER the Straße of x")], "doc_id bigint, text string"))
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = db.sql(spotsigs.REPORT_SQL).df()
+    got = spotsigs.edit_report(docs).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+@pytest.mark.parametrize("group", [512, 3])
+def test_spotsigs_order_of_documents(spark, monkeypatch, group):
+    monkeypatch.setattr(spotsigs, "GROUP", group)
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 2000)
+    ids = random.Random(1).sample(range(-500, 5000), 900)
+    text = F.concat(F.lit("the word"), F.col("doc_id").cast("string"))
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").withColumn("text", text).repartition(5)
+    for frame in (docs, docs.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        rows = sorted(map(tuple, frame.collect()))
+        want = {doc: rows[(k + 1) % len(rows)][1] for k, (doc, _) in enumerate(rows)}
+        assert {r.doc_id: r.next.x for r in spotsigs.with_next(frame, {"x": F.col("text")}).collect()} == want
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    found = spotsigs.with_next(nameless, {"x": F.col("text")})
+    after = {r.text: r.next.x for r in found.withColumn("p", F.spark_partition_id()).collect()}
+    at, seen = next(iter(after)), set()
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == len(after) == 900  # one round through all
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 200
+
+
+def test_spotsigs_join(spark, no_docs, monkeypatch):
+    monkeypatch.setattr(spotsigs, "HOT", 200)
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").where("doc_id < 400")
     prints = spotsigs.fingerprints(docs)
     sets = {r.fingerprint: set(r.spots) for r in prints.collect()}

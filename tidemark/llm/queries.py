@@ -68,4 +68,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLES = {"op1_decontamination": decontaminate.REPORT_SQL}
+ORACLES = {"op1_decontamination": decontaminate.REPORT_SQL, "op6_spotsigs": spotsigs.REPORT_SQL}

@@ -2,8 +2,8 @@
 
 A spot is a common word of the text's languages (its anchor) with the chain of the next ``2``
 content words, common words between them passed over; the last of several common words in a row is
-the anchor. The set of a text's hashed spots is its signature set, a digest of the set its
-fingerprint, and likeness is the Jaccard similarity of two sets.
+the anchor. The set of a text's spots is its signature set, a digest of the set its fingerprint,
+and likeness is the Jaccard similarity of two sets.
 
 For the similarity join, sets are partitioned by length: sets whose lengths differ by more than
 the threshold allows can't be alike, so only lengths of the same or the next class meet. Within
@@ -12,12 +12,13 @@ these, sets that share none of their rarest spots are pruned, and the rest is ve
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, let, text_or_empty
+from ._common import cut, free_name, let, text_or_empty
 
 #: Fixed: common words that serve as anchors.
 ANCHORS = (
@@ -27,6 +28,10 @@ ANCHORS = (
     "au aux avec ce ces dans des du elle et il je la le les leur lui mais ne nous ou où par pas pour qui sa se ses son sont sur une vous"
 ).split()
 THRESHOLD = 0.8
+#: Text in a range of ids, and the most ranges (a place is found in two steps, in groups of 512).
+RANGE_BYTES, MOST_RANGES, GROUP = 32_000_000, 1 << 18, 512
+#: A spot of more than this part of all spots is joined apart; there are fewer than HOT such spots.
+HOT = 10_000
 
 
 def anchor_pattern() -> str:
@@ -38,16 +43,19 @@ def anchor_pattern() -> str:
 
 
 def signatures(text: Column) -> Column:
-    """The sorted set of a text's spots, hashed; of a text without a spot, the hash of the text."""
+    """The sorted set of a text's spots (``anchor~word~word``); of a text without a spot, ``=`` and a digest of the text."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "))
     tied = F.split(F.regexp_replace(words, anchor_pattern(), "$1~"), " ")
-    spot = lambda t, after: F.when(F.contains(t, F.lit("~")) & after.isNotNull(), F.xxhash64(F.substring_index(t, "~", -2), F.substring_index(after, "~", -1)))
+
+    def spot(token: Column, after: Column) -> Column:
+        return F.when(F.contains(token, F.lit("~")) & after.isNotNull(), F.concat(F.substring_index(token, "~", -2), F.lit("~"), F.substring_index(after, "~", -1)))
+
     spots = let(tied, lambda t: F.sort_array(F.array_distinct(F.array_compact(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), spot)))))
-    return let(spots, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.xxhash64(text, F.lit("whole")))))
+    return let(spots, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.concat(F.lit("="), F.sha2(text, 256)))))
 
 
 def fingerprint(spots: Column) -> Column:
-    return F.sha2(F.array_join(spots.cast("array<string>"), ","), 256)
+    return F.sha2(F.array_join(spots, ","), 256)
 
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
@@ -74,8 +82,13 @@ def similar_sets(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     gives empty ones.
     """
     sets = cut(prints.groupBy("fingerprint").agg(F.first("spots").alias("spots")))
-    spots = sets.select("fingerprint", F.explode("spots").alias("spot"))
-    ranked = spots.join(spots.groupBy("spot").count(), "spot")
+    spots = sets.select("fingerprint", F.explode(F.transform("spots", lambda x: F.xxhash64(x))).alias("spot"))
+    counts = cut(spots.groupBy("spot").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") * HOT > total).withColumnRenamed("count", "hot")
+    marked = spots.join(F.broadcast(hot), "spot", "left")  # fewer than HOT rows
+    usual = marked.where("hot IS NULL").drop("hot").join(counts, "spot")
+    ranked = usual.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "count"))
     ordered = ranked.groupBy("fingerprint").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "spot"))), lambda s: s["spot"]).alias("spots"))
     size = F.size("spots")
     length_class = F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else size.cast("bigint")
@@ -91,26 +104,45 @@ def similar_sets(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     return pairs, prints.select("doc_id", "fingerprint")
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", order: str = "text") -> DataFrame:
-    """Each row with ``next``, the ``columns`` of the row after it by ascending id; after the last comes the first.
+def with_next(docs: DataFrame, columns: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row with ``columns`` and with ``next``, those of the row after it by ascending id; after the last comes the first.
 
-    Ids are dealt into ranges that start at ids of the table. The first row of a range is also given
-    to the range before, so no range needs to see another and no task sees all rows. Null ids come
-    first; rows of one id follow each other by the hash of column ``order``.
+    Rows are dealt into ranges of (id, hash of the text) that start at values of a sample, so rows
+    without an id or with the same one are spread too; ranges are counted by the size of the texts.
+    The first row of a range is also given to the range before, so no range needs to see another.
+    ``columns`` are computed behind the only shuffle. Null ids come first; rows of one id follow each
+    other by the hash of the text. Ids may be of any orderable type that JSON can write.
     """
-    spark = docs.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    row = docs.agg(F.min(id_col).alias("least"), F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 20 * ranges).alias("cuts"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
-    starts = sorted({*(row["cuts"] or []), *([row["least"]] if row["least"] is not None else [])})
-    cuts = F.array(*map(F.lit, starts)) if starts else F.array().cast("array<bigint>")
-    own = F.when(F.col(id_col).isNull(), 0).otherwise(F.greatest(F.lit(0), F.size(F.filter(cuts, lambda s: s <= F.col(id_col))) - 1))
-    last = max(0, len(starts) - 1)
-    first = F.col(id_col).isNull() if row["nulls"] else F.col(id_col) == F.lit(row["least"])
-    before = F.when(first, F.lit(last)).when(F.array_contains(cuts, F.col(id_col)) & (own > 0), own - 1)
-    copies = F.array_compact(F.array(F.struct(own.alias("range"), F.lit(0).alias("copy")), F.when(before.isNotNull(), F.struct(before.alias("range"), F.lit(1).alias("copy")))))
-    dealt = docs.withColumn("deal", F.explode(copies))
-    window = Window.partitionBy("deal.range").orderBy("deal.copy", F.col(id_col).asc_nulls_first(), F.xxhash64(order), order)
-    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(window)).where("deal.copy = 0").drop("deal")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    mark, place, copy = (free_name([*docs.columns, *columns], name) for name in ("mark", "place", "copy"))
+    keyed = docs.withColumn(mark, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    least = F.to_json(F.min(mark), {"ignoreNullFields": "false"}).alias("least")
+    row = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col) + 64).alias("size"), least).first()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(8, partitions, min(MOST_RANGES, (row["size"] or 0) // RANGE_BYTES))
+    sampled = F.pmod(F.xxhash64(f"{mark}.id", f"{mark}.h"), F.lit(1_000_003)) <= 1_000_003 * min(1.0, 10 * ranges / max(1, row["n"]))
+    sample = [r[0] for r in keyed.where(sampled).select(mark).distinct().orderBy(mark).select(F.to_json(mark, {"ignoreNullFields": "false"})).collect()]
+    starts = sorted({len(sample) * k // ranges for k in range(1, ranges)} - {0}) if sample else []
+    starts = [json.loads(x) for x in dict.fromkeys([row["least"] or "{}", *(sample[k] for k in starts)])]
+    groups = [starts[k : k + GROUP] for k in range(0, len(starts), GROUP)]
+    kind = f"array<struct<id:{id_type},h:bigint>>"
+    firsts, all_starts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), kind), F.from_json(F.lit(json.dumps(groups)), f"array<{kind}>")
+    upto = lambda values: F.filter(values, lambda x: x <= F.col(mark))
+
+    def dealt(group: Column) -> Column:
+        def inside(found: Column) -> Column:
+            own = group * GROUP + F.size(found) - 1
+            first = F.get(found, F.size(found) - 1).eqNullSafe(F.col(mark))
+            before = F.when(first, F.when(own > 0, own - 1).otherwise(len(starts) - 1))
+            return F.array_compact(F.array(F.struct(own.alias("place"), F.lit(0).alias("copy")), F.when(before.isNotNull(), F.struct(before.alias("place"), F.lit(1).alias("copy")))))
+
+        return let(upto(F.get(all_starts, group)), inside)
+
+    spread = keyed.withColumn(copy, F.explode(let(F.size(upto(firsts)) - 1, dealt)))
+    spread = spread.withColumns({place: F.col(f"{copy}.place"), copy: F.col(f"{copy}.copy")}).repartition(ranges, place)
+    window = Window.partitionBy(place).orderBy(copy, mark, text_col)
+    followed = spread.withColumns(columns).withColumn("next", F.lead(F.struct(*columns)).over(window))
+    return followed.where(F.col(copy) == 0).drop(mark, place, copy)
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,12 +155,39 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one; other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    chained = with_next(base.withColumn("spots", signatures(F.col("text"))), ["text", "spots"])
+    chained = with_next(base, {"words": F.col("text"), "spots": signatures(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = chained.select("doc_id", n.cast("bigint").alias("n_chars"), "spots", F.col("next.spots").alias("next_spots"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"))
+    text = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.words"), F.lit(1), half))
+    edited = chained.select("doc_id", n.cast("bigint").alias("n_chars"), "spots", F.col("next.spots").alias("next_spots"), text.alias("edited"))
     found = edited.withColumn("edited_spots", signatures(F.col("edited")))
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
+
+
+def spots_sql(text: str) -> str:
+    """The signature set in DuckDB SQL: each word that is none of the anchors, or is the last, after an anchor, with the next such word."""
+    anchors = "[" + ", ".join(f"'{a}'" for a in sorted(set(ANCHORS))) + "]"
+    words = f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ' ')"
+    places = f"list_filter(range(1, len(w) + 1), lambda k: k = len(w) OR NOT list_contains({anchors}, w[k]))"
+    starts = "list_filter(range(1, len(c)), lambda i: c[i] > 1 AND (i = 1 OR c[i - 1] < c[i] - 1))"
+    spots = f"list_sort(list_distinct(list_transform({starts}, lambda i: w[c[i] - 1] || '~' || w[c[i]] || '~' || w[c[i + 1]])))"
+    return f"""(SELECT CASE WHEN len(s) > 0 THEN s ELSE ['=' || sha256({text})] END
+      FROM (SELECT {spots} AS s FROM (SELECT w, {places} AS c FROM (SELECT {words} AS w))))"""
+
+
+#: The report in DuckDB SQL.
+REPORT_SQL = f"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next FROM documents
+), edits AS (
+  SELECT doc_id, text, next, length(text) AS n_chars, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next, (length(text) // 2)::BIGINT) AS edited FROM base
+), sets AS (
+  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {spots_sql("text")} AS a, {spots_sql("edited")} AS b, {spots_sql("next")} AS c FROM edits
+)
+SELECT doc_id, n_chars, edited_sha256, sha256(array_to_string(a, ',')) AS fingerprint, sha256(array_to_string(b, ',')) AS edited_fingerprint,
+       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS near_edited, len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) AS near_next
+FROM sets
+"""
