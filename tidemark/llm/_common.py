@@ -21,17 +21,22 @@ def free_name(columns: Iterable[str], wish: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
-    The files go to the shared folder that the session names in ``spark.checkpoint.dir``. Only
-    where that is unset, as in tests on one machine, a temporary folder is made.
+    The files go to the shared folder that the session names in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        set_dir = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where all runs on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +57,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A key with more than this part of all rows is joined apart.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` on columns without nulls, where no key fills a task.
+
+    ``table`` has each key once, and in ``count`` how many of the about ``total`` rows have it. Keys with more
+    than a ``HOT``-th of them are few, whatever the size of the tables, so theirs are sent to all tasks.
+    """
+    hot = table.where(F.col(count) * HOT > total).drop(count)
+    mark = free_name([*rows.columns, *table.columns], "hot")
+    marked = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), on, "left")
+    usual = marked.where(F.col(mark).isNull()).select(*rows.columns).join(table.drop(count), on)
+    return marked.where(F.col(mark).isNotNull()).drop(mark).unionByName(usual)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the value as text, modulo ``divisor``; null values count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

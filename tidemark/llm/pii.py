@@ -9,8 +9,7 @@ themselves), and each form has one surrogate everywhere, written as the mention
 a layout has too few values for its entities, longer ones are drawn (distinctness).
 
 The table of distinct forms is built from partial aggregates, so a frequent entity is one row
-there; entities with more than a ``HOT``-th of all mentions are joined apart. The texts are
-searched once.
+there, and the most frequent ones are joined apart. The texts are searched once.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, let, text_or_empty
+from ._common import cut, join_hot, let, text_or_empty
 
 MALE = "Mr|Herrn?|Monsieur|Señor|Sr"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta"
@@ -75,8 +74,6 @@ OTHERS = (
 )
 #: After so many draws without a free candidate, a form grows by one character more.
 PATIENCE = 30
-#: A form with more than this part of all mentions is joined apart; there are fewer than HOT such forms.
-HOT = 10_000
 
 
 def entities(text: Column) -> Column:
@@ -259,15 +256,6 @@ def surrogate_table(found: DataFrame, key: str) -> DataFrame:
             return given
 
 
-def _named(parts: DataFrame, table: DataFrame) -> DataFrame:
-    """``parts`` with their surrogates. The few most frequent forms are joined apart, so that none fills a task."""
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = table.where(F.col("n") * HOT > total).select("kind", "form", F.col("surrogate").alias("hot"))
-    marked = parts.join(F.broadcast(hot), ["kind", "form"], "left")  # fewer than HOT rows
-    usual = marked.where("hot IS NULL").drop("hot").join(table.select("kind", "form", "surrogate"), ["kind", "form"])
-    return marked.where("hot IS NOT NULL").withColumnRenamed("hot", "surrogate").unionByName(usual)
-
-
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replaces the entities of whole texts by surrogates.
 
@@ -286,7 +274,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     hit = seen.where("NOT none")
     mentions = hit.select("row", F.posexplode("found").alias("place", "e")).select("row", "place", F.col("e.kind").alias("mention"), "e.value")
     parts = mentions.select("row", "place", "mention", "value", F.posexplode(forms(F.col("mention"), F.col("value"))).alias("part", "f")).select("row", "place", "mention", "value", "part", "f.kind", "f.form")
-    named = _named(parts, surrogate_table(parts.select("kind", "form"), key))
+    table = surrogate_table(parts.select("kind", "form"), key)
+    named = join_hot(parts, table, ["kind", "form"], "n", table.agg(F.sum("n")).first()[0] or 0)
     of = lambda part: F.max(F.when(F.col("part") == part, F.col("surrogate")))
     whole = named.groupBy("row", "place", "mention", "value").agg(of(0).alias("first"), of(1).alias("second"))
     rendered = whole.select("row", "place", written(F.col("mention"), F.col("value"), F.col("first"), F.col("second")).alias("new"))

@@ -42,7 +42,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,9 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLES = {"op1_decontamination": decontaminate.REPORT_SQL, "op6_spotsigs": spotsigs.REPORT_SQL}
+ORACLES = {
+    "op1_decontamination": decontaminate.REPORT_SQL,
+    "op3_simhash": simhash.REPORT_SQL,
+    "op6_spotsigs": spotsigs.REPORT_SQL,
+    "op8_url_filter": url_filter.REPORT_SQL,
+}

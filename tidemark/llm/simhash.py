@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, text_or_empty
+from ._common import cut, join_hot, slices, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -181,7 +181,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = [fingerprint(text.as_py()) for text in batch.column(1)]
             signed = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), signed, pa.array([f"{p:016x}" for p in prints], pa.string())], ["doc_id", "fp", "fingerprint"])
@@ -199,9 +199,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = connected_components(near_links(distinct.select("fp"), dense), "a", "b").withColumnRenamed("node", "fp")
     members = cut(distinct.join(roots, "fp", "left"))
-    joined = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("least"))
-    groups = cut(members.join(joined, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    return prints.join(groups, "fp").select("doc_id", "fingerprint", "component_id")
+    joined = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("size"))
+    linked = join_hot(members.where(F.col("root").isNotNull()), joined, ["root"], "size", members.count())
+    alone = members.where(F.col("root").isNull()).select("fp", "n", F.col("first").alias("component_id"))
+    groups = cut(linked.select("fp", "n", F.col("least").alias("component_id")).unionByName(alone))
+    return join_hot(prints, groups, ["fp"], "n", prints.count()).select("doc_id", "fingerprint", "component_id")
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) % 18446744073709551616::UHUGEINT)"
+
+
+def _turned(x: str, by: int) -> str:
+    """The 64 bits of ``x`` turned left."""
+    return f"({_mod(f'{x} * {1 << by}::UHUGEINT')} + ({x}) // {1 << (64 - by)}::UHUGEINT)"
+
+
+def xxh64_sql(hexadecimal: str, size: str) -> str:
+    """XXH64 in DuckDB SQL of bytes given as upper-case hex digits, and of their number; an unsigned 128-bit value.
+
+    State and lanes go through ``list_reduce``, so each step names its operands once.
+    """
+    #: Fixed: the five primes of the hash.
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+    def lane(start: str, width: int) -> str:
+        bytes_ = " || ".join(f"substr({hexadecimal}, ({start}) * 2 + {2 * k + 1}, 2)" for k in reversed(range(width)))
+        return f"('0x' || {bytes_})::UBIGINT::UHUGEINT"
+
+    def fold(start: str, steps: str, x: str, body: str) -> str:
+        return f"list_reduce(list_prepend({start}, {steps}), lambda h, {x}: {body})"
+
+    def then(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    mixed = lambda x: _mod(then(_mod(f"({x}) * {p2}"), "y", _turned("y", 31)) + f" * {p1}")
+    starts = [(SEED + 11400714785074694791 + 14029467366897019727) % 2**64, SEED + 14029467366897019727, SEED, (SEED - 11400714785074694791) % 2**64]
+    accumulators = []
+    for k, start in enumerate(starts):
+        lanes = f"list_transform(range({size} // 32), lambda j: {lane(f'j * 32 + {8 * k}', 8)})"
+        turned = then(_mod(f"h + {_mod(f'x * {p2}')}"), "z", _turned("z", 31))
+        accumulators.append(fold(f"{start % 2**64}::UHUGEINT", lanes, "x", _mod(f"{turned} * {p1}")))
+    both = then(f"[{', '.join(accumulators)}]", "v", fold(_mod(" + ".join(_turned(f"v[{k + 1}]", r) for k, r in enumerate((1, 7, 12, 18)))), "v", "x", _mod(f"{_mod(f'xor(h, {mixed("x")}) * {p1}')} + {p4}")))
+    first = _mod(f"CASE WHEN {size} >= 32 THEN {both} ELSE {_mod(f'{SEED}::UHUGEINT + {p5}')} END + ({size})::UHUGEINT")
+    eights = f"list_transform(range(({size} % 32) // 8), lambda j: {lane(f'{size} // 32 * 32 + j * 8', 8)})"
+    after8 = fold(first, eights, "x", _mod(then(f"xor(h, {mixed('x')})", "z", _turned("z", 27)) + f" * {p1} + {p4}"))
+    fours = f"list_transform(range(({size} % 8) // 4), lambda j: {lane(f'{size} // 8 * 8', 4)})"
+    after4 = fold(after8, fours, "x", _mod(f"{_mod(then('xor(h, ' + _mod(f'x * {p1}') + ')', 'z', _turned('z', 23)) + f' * {p2}')} + {p3}"))
+    ones = f"list_transform(range({size} % 4), lambda j: {lane(f'{size} // 4 * 4 + j', 1)})"
+    after1 = fold(after4, ones, "x", _mod(then("xor(h, " + _mod(f"x * {p5}") + ")", "z", _turned("z", 11)) + f" * {p1}"))
+    for shift, prime in ((33, p2), (29, p3), (32, None)):
+        after1 = then(after1, "f", f"xor(f, f // {1 << shift}::UHUGEINT)")
+        after1 = _mod(f"{after1} * {prime}") if prime else after1
+    return after1
+
+
+#: Fingerprints and components in DuckDB SQL; all distinct fingerprints against all, so for small tables.
+REPORT_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), hashes AS (
+  SELECT s, ({xxh64_sql("x", "n")})::UBIGINT AS h FROM (SELECT s, hex(s) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingles))
+), bits AS (
+  SELECT r, count(*) AS n, {", ".join(f"count(*) FILTER ((h >> {b}) & 1 = 1) AS b{b}" for b in range(64))} FROM shingles JOIN hashes USING (s) GROUP BY r
+), prints AS (
+  SELECT doc_id, coalesce({" + ".join(f"(2 * b{b} > n)::UHUGEINT * {1 << b}::UHUGEINT" for b in range(64))}, 0)::UBIGINT AS fp FROM words LEFT JOIN bits USING (r)
+), classes AS (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp
+), links AS (SELECT a.fp AS a, b.fp AS b FROM classes a JOIN classes b ON bit_count(xor(a.fp, b.fp)) <= 3
+), reached AS (SELECT fp AS a, fp AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (SELECT r.a AS fp, min(c.least) AS component_id FROM reached r JOIN classes c ON r.b = c.fp GROUP BY r.a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM prints JOIN components USING (fp)
+"""

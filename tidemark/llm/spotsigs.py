@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, let, text_or_empty
+from ._common import cut, free_name, join_hot, let, text_or_empty
 
 #: Fixed: common words that serve as anchors.
 ANCHORS = (
@@ -30,8 +30,6 @@ ANCHORS = (
 THRESHOLD = 0.8
 #: Text in a range of ids, and the most ranges (a place is found in two steps, in groups of 512).
 RANGE_BYTES, MOST_RANGES, GROUP = 32_000_000, 1 << 18, 512
-#: A spot of more than this part of all spots is joined apart; there are fewer than HOT such spots.
-HOT = 10_000
 
 
 def anchor_pattern() -> str:
@@ -83,12 +81,8 @@ def similar_sets(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     """
     sets = cut(prints.groupBy("fingerprint").agg(F.first("spots").alias("spots")))
     spots = sets.select("fingerprint", F.explode(F.transform("spots", lambda x: F.xxhash64(x))).alias("spot"))
-    counts = cut(spots.groupBy("spot").count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") * HOT > total).withColumnRenamed("count", "hot")
-    marked = spots.join(F.broadcast(hot), "spot", "left")  # fewer than HOT rows
-    usual = marked.where("hot IS NULL").drop("hot").join(counts, "spot")
-    ranked = usual.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "count"))
+    counts = cut(spots.groupBy("spot").count().withColumn("n", F.col("count")))
+    ranked = join_hot(spots, counts, ["spot"], "n", counts.agg(F.sum("n")).first()[0] or 0)
     ordered = ranked.groupBy("fingerprint").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "spot"))), lambda s: s["spot"]).alias("spots"))
     size = F.size("spots")
     length_class = F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else size.cast("bigint")
