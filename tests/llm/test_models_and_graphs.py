@@ -6,9 +6,10 @@ import unicodedata
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, language, pii, quality, simhash, spotsigs, url_filter
+from tidemark.llm import _common, components, language, pii, quality, simhash, spotsigs, url_filter
 from tidemark.llm._common import remainder
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -27,7 +28,9 @@ def slow_components(nodes, edges):
     return root
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(_common, "HOT", hot)
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)] + [(5, 5)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame([*edges, (None, 1)], "a bigint, b bigint"), "a", "b").collect()))
@@ -37,10 +40,6 @@ def test_components(spark):
 
 
 def slow_fingerprint(text):
-    import re
-
-    import xxhash
-
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
@@ -78,6 +77,15 @@ def test_simhash_on_documents(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_xxh64_in_sql():
+    rng = random.Random(9)
+    texts = ["", "a", "abc d", "\u00e9\u00df \U0001f600", *("".join(rng.choice("ab \u00e9z9") for _ in range(n)) for n in range(1, 140))]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t AS SELECT unnest(?) AS s", [texts])
+    got = dict(db.sql(f"SELECT s, ({simhash.xxh64_sql('x', 'n')})::UBIGINT FROM (SELECT s, hex(s) AS x, octet_length(encode(s)) AS n FROM t)").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 5000, np.uint64), rng.integers(0, 1 << 63, 5000, np.uint64)
@@ -185,7 +193,7 @@ def test_spotsigs_order_of_documents(spark, monkeypatch, group):
 
 
 def test_spotsigs_join(spark, no_docs, monkeypatch):
-    monkeypatch.setattr(spotsigs, "HOT", 200)
+    monkeypatch.setattr(_common, "HOT", 200)
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").where("doc_id < 400")
     prints = spotsigs.fingerprints(docs)
     sets = {r.fingerprint: set(r.spots) for r in prints.collect()}
@@ -223,6 +231,37 @@ def test_url_propagation(spark):
     assert [rows[k].distrust for k in (2, 3, 6)] == pytest.approx(want.tolist()) and rows[4].trust == pytest.approx(0.15 * 0.85)
 
 
+def test_url_propagation_on_a_graph_with_hubs(spark, monkeypatch, tmp_path):
+    """Random links, a hub with links to and from most hosts, a host with a third of the pages; against the exact solution and the SQL."""
+    monkeypatch.setattr(_common, "HOT", 20)
+    rng = random.Random(12)
+    hosts = [f"h{k}.{rng.choice(['net', 'org', 'com'])}" for k in range(60)]
+    pages = []
+    for k in range(300):
+        host = hosts[0] if k % 3 == 0 else rng.choice(hosts)
+        targets = rng.sample(hosts, 25) if host == hosts[1] else [hosts[1]] * (rng.random() < 0.5) + rng.sample(hosts, rng.randint(0, 2))
+        pages.append((k, f"http://{host}/{rng.choice(['en', 'es', 'fr', ''])}/x", " ".join(f'<a href="http://{t}/">' for t in targets)))
+    frame = spark.createDataFrame(pages, "page_id int, url string, html string")
+    found = url_filter.judge_urls(frame, tolerance=1e-5).collect()
+    rules = [(r.host, r.rule, r.verdict) for r in found]
+    seed = {v: np.array([np.mean([x[2] == v for x in rules if x[0] == h and x[1]] or [0]) * np.mean([bool(x[1]) for x in rules if x[0] == h] or [0]) for h in hosts]) for v in ("allow", "block")}
+    links = np.zeros((60, 60))
+    for _, url, html in pages:
+        a = hosts.index(re.match("http://([^/]*)", url)[1])
+        for b in re.findall('"http://([^/]*)/"', html):
+            links[a, hosts.index(b)] += hosts.index(b) != a
+    flow = lambda m: np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+    solve = lambda m, start: np.linalg.solve(np.eye(60) - 0.85 * flow(m).T, 0.15 * start)
+    trust, distrust = solve(links, seed["allow"]), solve(links.T, seed["block"])
+    for r in found:
+        k = hosts.index(r.host)
+        assert (r.trust, r.distrust) == pytest.approx((trust[k], distrust[k]), rel=1e-3)
+    db = duckdb.connect()
+    db.register("pages", frame.toPandas())
+    want = db.sql(url_filter.REPORT_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r)[:5] for r in found) and {r.verdict for r in found if r.rule is None} == {"allow", "block"}
+
+
 def test_url_propagation_reaches_far_hosts(spark):
     chain = 20  # each links to the next, the last to a blocked host; the first two also link to each other
     links = [(f"h{k}.org", f"h{k + 1}.org" if k + 1 < chain else "bad.net") for k in range(chain)] + [("h1.org", "h0.org")]
@@ -278,7 +317,7 @@ def test_pii_coreference_and_detection(spark):
 
 def test_pii_against_a_plain_replacement(spark, monkeypatch):
     """Each text is its gaps and, in order, the surrogates of the table, for hot forms too."""
-    monkeypatch.setattr(pii, "HOT", 5)
+    monkeypatch.setattr(_common, "HOT", 5)
     texts = [f"a{k % 7}@b.de and 10.0.0.{k % 3}, Mr Schmidt" for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     rows = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}

@@ -19,7 +19,9 @@ def folder(spark, odd_docs, tmp_path_factory):
     """The sample with odd rows added."""
     path = tmp_path_factory.mktemp("tables")
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
-    odd = odd_docs.select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 10_000)
+    more = {"tags": F.create_map(F.lit("a"), F.col("lang")), "Row": F.lit(1), "score": F.lit("s"), "row_key": F.lit(None).cast("int"), "spans": F.lit("x")}
+    docs = docs.withColumns(more)
+    odd = odd_docs.select(*(c for c in docs.columns if c not in more)).withColumns(more).withColumn("doc_id", F.col("doc_id") + 10_000)
     secret = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") - 1000).withColumn("text", F.concat("text", F.lit(' password = "hunter22xx"')))
     nameless = docs.where("doc_id = 21").withColumn("doc_id", F.lit(None).cast("bigint"))
     docs.where("doc_id <> 21").union(nameless).union(odd).union(secret).write.parquet(f"{path}/documents.parquet")

@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import text_or_empty
@@ -127,14 +127,16 @@ def fit(rows: list[tuple[np.ndarray, str]]) -> LanguageModel | None:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([vector(t.as_py()).tobytes() for t in batch.column("text")], pa.binary()), batch.column("lang")], ["x", "lang"])
+        vectors = pa.array([vector(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([vectors, batch.column("lang"), batch.column("place")], ["x", "lang", "place"])
 
 
 def train(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fits the machines on rows with ``keep``, a condition on ``doc_id``.
 
     Of each language with n rows, the rows whose hash of the id is in the first ``per_language / n``
-    of its range are taken, so the sample does not depend on the layout. Rows without a language
+    of its range are taken, and of these no more than twice ``per_language``, by that hash (ids may be
+    repeated), so the sample does not depend on the layout. Rows without a language
     or with a text that is null or has no letter are passed over.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -144,8 +146,10 @@ def train(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str =
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    sample = usable.where(place <= share[F.col("lang")]).select("text", "lang")
-    found = sample.mapInArrow(_vectors, "x binary, lang string").limit(2 * per_language * len(counts)).collect()
+    sample = usable.withColumn("place", place).where(F.col("place") <= share[F.col("lang")]).select("text", "lang", "place")
+    vectors = sample.mapInArrow(_vectors, "x binary, lang string, place double")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "x"))
+    found = vectors.withColumn("rank", rank).where(F.col("rank") <= 2 * per_language).collect()
     return fit([(np.frombuffer(r["x"], np.float32), r["lang"]) for r in found])
 
 

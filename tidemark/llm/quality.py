@@ -110,7 +110,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
-    meta = F.array(*[F.col(c).cast("double") for c in meta_cols]) if meta_cols else F.array().cast("array<double>")
+    column = lambda c: F.col(c) if c in docs.columns else F.lit(None)
+    meta = F.array(*[column(c).cast("double") for c in meta_cols]) if meta_cols else F.array().cast("array<double>")
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), meta.alias("meta"))
 
 
@@ -124,13 +125,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("n_chars",), max_rows: int = MAX_ROWS) -> FactorisationMachine | None:
     """Fits the machine on at most ``max_rows`` labelled rows with ``keep``, a condition on ``doc_id``.
 
-    The rows are those of the least hash of the id, so the sample does not depend on the layout.
-    Labels other than 0 and 1 and null ids are passed over; None if no labelled document is left.
+    The rows are those of the least hash of the id, and of rows with one id the one of the least hash
+    of its text, so the sample does not depend on the layout. A column of ``meta_cols`` that is
+    missing counts as null. Labels other than 0 and 1 and null ids are passed over; None if no labelled document is left.
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(keep & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    sample = marked.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = _chosen(docs, id_col, text_col, meta_cols).join(F.broadcast(sample), "doc_id")  # the sample is bounded
-    found = rows.select("text", "meta", "label").mapInArrow(_vectors, "at binary, weights binary, stats binary, label int").limit(2 * max_rows).collect()
+    single = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "meta", "label"), F.xxhash64("text")).alias("row")).select("row.*")
+    found = single.mapInArrow(_vectors, "at binary, weights binary, stats binary, label int").collect()  # at most max_rows
     return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["weights"], np.float32), np.frombuffer(r["stats"], np.float32), r["label"]) for r in found])
 
 
@@ -160,16 +163,18 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, id_col: s
 def keep_good(docs: DataFrame, model: FactorisationMachine | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` or more; see ``score_quality``.
 
-    Each row is judged by itself, so null and repeated ids do no harm; an empty table gives an empty one.
+    Each row is judged by itself, so null and repeated ids do no harm; an empty table gives an empty one;
+    a column of ``meta_cols`` that is missing counts as null.
     """
-    text_at, meta_at = docs.columns.index(text_col), [docs.columns.index(c) for c in meta_cols]
+    text_at, meta_at = docs.columns.index(text_col), [docs.columns.index(c) if c in docs.columns else None for c in meta_cols]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
         for batch in slices(batches):
-            meta = zip(*(batch.column(k) for k in meta_at)) if meta_at else ((),) * batch.num_rows
-            scores = [machine.score(*features(t.as_py() or "", tuple(None if m.as_py() is None else float(m.as_py()) for m in row))) if machine else 0.5 for t, row in zip(batch.column(text_at), meta)]
+            columns = [[None] * batch.num_rows if k is None else batch.column(k).to_pylist() for k in meta_at]
+            meta = [tuple(None if m is None else float(m) for m in row) for row in zip(*columns)] if columns else [()] * batch.num_rows
+            scores = [machine.score(*features(t.as_py() or "", row)) if machine else 0.5 for t, row in zip(batch.column(text_at), meta)]
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
