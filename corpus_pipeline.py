@@ -6,7 +6,6 @@ reads again for the next one. All stages but the last return the columns of thei
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, quality, secrets, simhash
-from tidemark.llm._common import free_name, remainder, table
+from tidemark.llm._common import free_name, remainder, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +29,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     3 of 64 bits apart. Most copies of a similarity of 0.8 to 0.95 are further apart and stay (see the README).
 
     Rows are told apart by id and content, so rows without an id or with the same one are documents
-    of their own, and of rows that are wholly equal one stays.
+    of their own, and of rows that are wholly equal one stays. The choice is made on ids and hashes;
+    texts are shuffled once, for the rows that stay.
     """
     key = free_name(docs.columns, "row_key")
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64(*docs.columns).alias("content")))
+    readable = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    content = F.xxhash64(*[x for c in readable for x in (c.isNull(), c)])
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), content.alias("content")))
     found = simhash.near_duplicates(keyed, id_col=key)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
-    same = keyed[key].eqNullSafe(firsts[key])
-    return keyed.join(firsts, same, "left_semi").dropDuplicates([key]).drop(key)
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
+    return keyed.join(firsts, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +69,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``.
-
-    The tables between the stages go to the shared folder named in ``spark.checkpoint.dir``, or to a
-    temporary folder where it is unset, as in tests.
-    """
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; the tables between them go to the shared folder named in ``spark.checkpoint.dir``."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
