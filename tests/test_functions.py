@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -39,6 +40,19 @@ def test_text_functions_agree(spark):
     assert embed.normalise_text("ΑΣ İ") == "ασ i"
 
 
+def test_counted(spark):
+    rows = [(["b", "a", "b", "é", "a", "b"],), ([],), (None,), (["x"],)]
+    got = [r.n for r in spark.createDataFrame(rows, "x array<string>").coalesce(1).select(embed.counted(F.col("x")).alias("n")).collect()]
+    assert [x and [tuple(v) for v in x] for x in got] == [[("a", 2), ("b", 3), ("é", 1)], None, None, [("x", 1)]]
+
+
+def test_embedding_in_slices(monkeypatch):
+    texts = [f"word{k} and word{k % 3} again" for k in range(50)]
+    want = embed.HashedEmbedding().encode(texts)
+    monkeypatch.setattr(embed, "FEATURES", 7)
+    assert (embed.HashedEmbedding().encode(texts) == want).all()
+
+
 def test_quantizer(spark):
     assert recall() >= 0.78
     rng = np.random.default_rng(1)
@@ -58,19 +72,28 @@ def test_quantizer(spark):
 
 
 @pytest.fixture
-def small():
-    pieces = ["h", "e", "l", "o", "w", "r", "d", " ", "he", "ll", "wo", "rl", "rld"]
-    merges = [("h", "e"), ("l", "l"), ("w", "o"), ("r", "l"), ("rl", "d")]
-    special = {"[CLS]": 100, "[SEP]": 101, "[PAD]": 102, "[UNK]": 103}
-    return lambda with_special: tokenize.Tokenizer({p: k for k, p in enumerate(pieces)} | (special if with_special else {}), merges)
+def small(tmp_path):
+    """A vocabulary of the letters of "tidal basin" with a few merges, by way of files."""
+    pieces = [*"tidalbsn ", "ti", "da", "dal", "bas", "as", "in"]
+    merges = "# rank order\nt i\nd a\nda l\n\na s\nb as\ni n\n"
+    special = {name: 500 + k for k, name in enumerate(tokenize.SPECIAL)}
+
+    def make(spark, with_special):
+        vocab = {p: 3 * k for k, p in enumerate(pieces)} | (special if with_special else {})
+        (tmp_path / "vocab.json").write_text(json.dumps(vocab))
+        (tmp_path / "merges.txt").write_text(merges)
+        return tokenize.read_tokenizer(spark, str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"))
+
+    return make
 
 
 def test_tokenizer(spark, small):
-    full, bare = small(True), small(False)
-    ids = full.encode("hello world")
-    assert ids[0] == 100 and ids[-1] == 101 and full.decode(ids) == "hello world" and len(full) == 17
-    assert full.encode("") == [100, 101] and bare.encode("") == [] and full.encode("hx")[1:-1] == [0, 103] and bare.encode("hx") == [0]
-    assert full.decode([999, -1, 8]) == "he"
+    full, bare = small(spark, True), small(spark, False)
+    number = lambda *pieces: [full.vocab[p] for p in pieces]
+    assert bare.encode("tidal basin") == number("ti", "dal", " ", "bas", "in") and full.decode(full.encode("tidal basin")) == "tidal basin"
+    assert full.encode("an") == [500, *number("a", "n"), 501] and full.encode("") == [500, 501] and bare.encode("") == []
+    assert full.encode("tz") == [500, *number("t"), 503, 501] and bare.encode("tz") == number("t") and len(full) == len(bare) + 4
+    assert full.decode([9999, -1, *number("dal")]) == "dal"
     marked = tokenize.Tokenizer({"a": 0, "Ġ": 1, "Ġa": 2, ".": 3}, [("Ġ", "a")])
     assert marked.encode("a a.  .a") == [0, 2, 3, 1, 3, 0] and marked.decode([0, 2, 3]) == "a a."
     text = "It's  a\t(test) - né!"

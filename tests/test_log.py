@@ -34,6 +34,34 @@ def test_latest_live_and_history(rows):
     assert {r.lamport: r.text for r in log.carried_forward(rows).where("tombstone").collect()} == {4: "beta", 5: None}
 
 
+@pytest.mark.parametrize("block", [1, 3, 1_000_000])
+def test_blocks_of_clocks(spark, block):
+    rng = random.Random(block)
+    made = [entry(rng.choice("xyz"), k, actor, rng.random() < 0.4, rng.choice([None, f"t{k}"]), metadata={"k": str(k)} if rng.random() < 0.5 else None) for k in rng.sample(range(60), 40) for actor in rng.sample("ab", rng.randint(1, 2))]
+    frame = spark.createDataFrame(made, LOG_SCHEMA)
+    text, back = {}, set()
+    for id in "xyz":
+        last, before = None, False
+        for r in sorted((r for r in made if r[1] == id), key=lambda r: (r[5], r[6])):
+            text[id, r[5], r[6]] = last if r[8] else r[3]
+            last = last if r[8] or r[3] is None else r[3]
+            if before and not r[8]:
+                back.add((id, r[5], r[6]))
+            before = r[8]
+    assert {(r.id, r.lamport, r.actor_id): r.text for r in log.carried_forward(frame, block=block).collect()} == text
+    assert {(r.id, r.lamport, r.actor_id) for r in log.revived(frame, block=block).collect()} == back
+    parts = log.grouped_history(frame, "text", block=block).orderBy("id", "part").collect()
+    whole = [(r.id, v.lamport, v.actor_id) for r in parts for v in r.versions]
+    assert whole == sorted(text) and all(v.lamport // block == r.part for r in parts for v in r.versions)
+
+
+def test_numbers_do_not_change_with_ties(spark):
+    frame = spark.createDataFrame([(k % 3, {"k": str(k)}) for k in range(500)], "v int, m map<string,string>")
+    runs = [{r.m["k"]: (r.n, r.v) for r in log.numbered(f, "v", "n", ranges=9).collect()} for f in (frame.repartition(3), frame.repartition(7))]
+    assert runs[0] == runs[1] and sorted(n for n, _ in runs[0].values()) == list(range(500))
+    assert [v for _, v in sorted(runs[0].values())] == sorted(k % 3 for k in range(500))
+
+
 def test_deletions_carry_text_on(spark, rows):
     ids = spark.createDataFrame([("c", "y", 0), ("c", "new", 1), ("c", "x", 2)], "collection string, id string, seq bigint")
     gone = log.deletions(rows, ids, 10, "b")
@@ -105,15 +133,27 @@ def test_batch_search_equals_single(spark):
         for r in search.batch_top_k(points, queries, 7, limit).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.id, round(r.score, 9)))
         assert got == {q: [(r.id, round(r.score, 9)) for r in search.search(points, v, 7).collect()] for q, v in asked}
-    assert search.batch_top_k(points, queries.limit(0), 3).count() == 0
+    assert search.batch_top_k(points, queries.limit(0), 3).count() == search.batch_top_k(points, queries, 0).count() == 0
+
+
+def test_batch_search_in_small_products(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCORES", 7)
+    points = spark.createDataFrame([entry(f"p{k:02d}", k, embedding=[float(k % 4), 1.0]) for k in range(40)], LOG_SCHEMA).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(3)], "query_id int, query array<double>")
+        got = [(r.query_id, r.id) for r in search.batch_top_k(points, queries, 12).orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = sorted(range(40), key=lambda k: (-(k % 4), k))[:12]
+    assert got == [(q, f"p{k:02d}") for q in range(3) for k in order]
 
 
 def test_shards(spark):
-    hits = "id string, score double, version bigint"
-    a = spark.createDataFrame([("x", 1.0, 1), ("y", 0.5, 9)], hits)
-    b = spark.createDataFrame([("x", 1.0, 2), ("y", 0.4, 10), ("w", 1.0, 1)], hits)
-    assert [tuple(r) for r in merge.merge_shards([a, b], 3).collect()] == [("w", 1.0, 1), ("x", 1.0, 2), ("y", 0.5, 9)]
-    assert merge.merge_shards([a, b], 0).count() == 0 and merge.merge_shards([b], 1).count() == 1
+    hits = "id string, score double, version bigint, member int"
+    both = spark.createDataFrame([("x", 1.0, 1, 0), ("y", 0.5, 9, 0), ("x", 1.0, 2, 1), ("y", 0.4, 10, 1), ("w", 1.0, 1, 1)], hits)
+    assert [tuple(r) for r in merge.merge_shards(both, 3).collect()] == [("w", 1.0, 1), ("x", 1.0, 2), ("y", 0.5, 9)]
+    assert merge.merge_shards(both, 0).count() == 0 and [r.id for r in merge.merge_shards(both, 1).collect()] == ["w"]
     number = 16440537606581960914  # FNV-1a of "docs\\0doc-peer-0"
     high, low = merge.fnv1a(merge.byte_codes(F.lit("docs\0doc-peer-0")))
     row = spark.range(1).select(high.alias("h"), low.alias("l"), merge.owner_of(F.lit("docs"), F.lit("doc-peer-0"), ["c", "a", "b", "a", ""]).alias("o")).first()

@@ -25,6 +25,8 @@ DRAWS = 4
 MASK = (1 << 64) - 1
 #: Longer features are hashed one by one.
 LONG = 64
+#: Different features after which a batch is worked off.
+FEATURES = 50_000
 
 
 class Provider(Protocol):
@@ -113,14 +115,28 @@ class HashedEmbedding:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        """Each different feature of some texts is hashed once."""
         out = np.zeros((len(texts), self.dim), np.float32)
         weights = np.array([1 / n for n in range(1, DRAWS + 1)], np.float32)
-        for row, text in zip(out, texts):
+        number: dict[str, int] = {}
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            at = bucket_rows(list(number), self.dim) if number else None
+            for place, features in waiting:
+                row = out[place]
+                row += np.bincount(at[features].ravel(), np.tile(weights, len(features)), self.dim).astype(np.float32)
+                row *= np.float32(1 / np.sqrt((row * row).astype(np.float64).sum()))
+            number.clear()
+            waiting.clear()
+
+        for place, text in enumerate(texts):
             features = features_of(normalise_text(text or ""))
             if features:
-                at = bucket_rows(features, self.dim)
-                row += np.bincount(at.ravel(), np.tile(weights, len(at)), self.dim).astype(np.float32)
-                row *= np.float32(1 / np.sqrt((row * row).astype(np.float64).sum()))
+                waiting.append((place, np.array([number.setdefault(f, len(number)) for f in features])))
+            if len(number) > FEATURES:
+                flush()
+        flush()
         return out
 
 
@@ -136,6 +152,16 @@ def encoded(text: Column, make: Callable[[], Provider] = HashedEmbedding) -> Col
     return run(F.coalesce(text, F.lit("")))
 
 
+def feature_buckets(feature: Column, dim: int = DIM) -> Column:
+    """The buckets of a feature, one for each draw."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(features: pd.Series) -> pd.Series:
+        return pd.Series(list(bucket_rows(features.tolist(), dim)), index=features.index)
+
+    return run(feature)
+
+
 def normal_text(text: Column) -> Column:
     """``normalise_text`` by built-in functions; they differ only where lower case changes a letter's number."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "))
@@ -146,3 +172,18 @@ def text_features(normal: Column) -> Column:
     words = F.filter(F.split(normal, " "), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.array(F.concat(F.lit("w:"), a), F.concat(F.lit("p:"), a, F.lit("_"), b)))
     return F.array_compact(F.flatten(pairs))
+
+
+def counted(items: Column) -> Column:
+    """An array's different items, each with its number, as an array of (item, n)."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return _let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(ordered))), lambda a, b: F.struct(F.get(ordered, a).alias("item"), (b - a).cast("bigint").alias("n"))))
+
+    return F.when(F.size(items) > 0, _let(F.array_sort(items), runs))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

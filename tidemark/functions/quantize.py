@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_BITS = 9
 COLUMNS = "q_mse binary, q_signs binary, q_rest float, q_norm float"
 
 
@@ -31,8 +32,8 @@ def levels(bits: int, rounds: int = 200) -> np.ndarray:
 
 class Quantizer:
     def __init__(self, dim: int, bits: int = 2, seed: int = 0):
-        if bits < 2 or bits > 9:
-            raise ValueError("bits must be from 2 to 9")
+        if bits < 2 or bits > MOST_BITS:
+            raise ValueError(f"bits must be from 2 to {MOST_BITS}")
         random = np.random.default_rng(seed)
         q, r = np.linalg.qr(random.normal(size=(dim, dim)))
         self.dim, self.rotation = dim, q * np.sign(np.diag(r))
@@ -61,22 +62,22 @@ def quantizer(dim: int, bits: int, seed: int) -> Quantizer:
 
 
 def quantized(rows: DataFrame, dim: int, bits: int = 2, seed: int = 0) -> DataFrame:
-    """Rows with ``id``, ``version`` and the quantized columns in place of ``embedding``."""
-    vectors = rows.where(F.col("embedding").isNotNull()).select("id", F.col("lamport").alias("version"), "embedding")
+    """``id``, ``text``, ``metadata``, ``version`` and the quantized columns of the rows with a vector."""
+    vectors = rows.where(F.col("embedding").isNotNull()).select("id", "text", "metadata", F.col("lamport").alias("version"), "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = quantizer(dim, bits, seed)
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).astype(np.float64)
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).astype(np.float64)
             cell, signs, rest, norm = model.encode(x)
             made = [pa.array([r.tobytes() for r in cell], pa.binary()), pa.array([r.tobytes() for r in signs], pa.binary()), pa.array(rest, pa.float32()), pa.array(norm, pa.float32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "version", "q_mse", "q_signs", "q_rest", "q_norm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["id", "text", "metadata", "version", "q_mse", "q_signs", "q_rest", "q_norm"])
 
-    return vectors.mapInArrow(run, f"id string, version bigint, {COLUMNS}")
+    return vectors.mapInArrow(run, f"id string, text string, metadata map<string,string>, version bigint, {COLUMNS}")
 
 
 def quantized_top_k(table: DataFrame, query: list[float], k: int, bits: int = 2, seed: int = 0) -> DataFrame:
-    """The best ``k`` by estimated scores."""
+    """``id``, ``score`` and ``version`` of the best ``k`` by estimated scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, q = quantizer(len(query), bits, seed), np.array([query], np.float64)
@@ -85,4 +86,5 @@ def quantized_top_k(table: DataFrame, query: list[float], k: int, bits: int = 2,
             score = model.scores(q, bytes_of("q_mse"), bytes_of("q_signs"), batch.column("q_rest").to_numpy(), batch.column("q_norm").to_numpy())[0] if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), batch.column("version")], ["id", "score", "version"])
 
-    return table.mapInArrow(run, "id string, score double, version bigint").orderBy(F.desc("score"), "id").limit(max(0, k))
+    numbers = table.select("id", "version", "q_mse", "q_signs", "q_rest", "q_norm")
+    return numbers.mapInArrow(run, "id string, score double, version bigint").orderBy(F.desc("score"), "id").limit(max(0, k))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: characters that stand alone, the mark of a word's start, and the special tokens.
@@ -41,6 +42,13 @@ def words_marked(text: str) -> list[str]:
     return out
 
 
+def read_tokenizer(spark: SparkSession, vocab_path: str, merges_path: str) -> Tokenizer:
+    """From a JSON object of piece and id, and a text of one merge a line; blank lines and lines from ``#`` on are passed over."""
+    whole = lambda path: spark.read.text(path, wholetext=True).first()[0]
+    lines = (line.split() for line in whole(merges_path).splitlines() if line.strip() and not line.startswith("#"))
+    return Tokenizer(json.loads(whole(vocab_path)), [(a, b) for a, b in lines])
+
+
 @dataclass
 class Tokenizer:
     vocab: dict[str, int]

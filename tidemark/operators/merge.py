@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import log
@@ -25,17 +25,16 @@ def crdt_merge(*logs: DataFrame) -> DataFrame:
     return log.dedup(reduce(DataFrame.unionByName, logs))
 
 
-def merge_shards(results: list[DataFrame], k: int) -> DataFrame:
-    """The best ``k`` of search results from several shards.
+def merge_shards(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of search hits of several shards, told apart by the column ``member``.
 
-    Of one id's hits the one with the greatest score, then version, counts. A single result is only
-    cut off. ``k`` <= 0 gives nothing.
+    Of each member the best ``k`` count; of one id's hits the one with the greatest score, then version.
+    ``k`` <= 0 gives nothing.
     """
-    if len(results) == 1:
-        return results[0].orderBy(F.desc("score"), "id").limit(max(0, k))
-    hits = reduce(DataFrame.unionByName, results)
-    best = hits.groupBy("id").agg(F.max_by(F.struct(*hits.columns), F.struct("score", "version")).alias("v")).select("v.*")
-    return best.orderBy(F.desc("score"), "id").limit(max(0, k))
+    rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "id"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank", "member")
+    merged = best.groupBy("id").agg(F.max_by(F.struct(*best.columns), F.struct("score", "version")).alias("v")).select("v.*")
+    return merged.orderBy(F.desc("score"), "id").limit(max(0, k))
 
 
 def fnv1a(codes: Column, offset: int = FNV_OFFSET) -> tuple[Column, Column]:

@@ -1,8 +1,9 @@
 """Top-k inner-product search over live rows.
 
 Order is always (score descending, id ascending). One query is a plan of built-in expressions that
-ends in TakeOrderedAndProject. Many queries are scored by one matrix product for each Arrow batch,
-which hands on no more than k rows a query; the final ranking limits groups before the shuffle.
+ends in TakeOrderedAndProject. Many queries are scored by matrix products of bounded size for each
+Arrow batch, which hands on no more than k rows a query and, besides ties, none below the k best that
+its task has seen; the final ranking limits groups before the shuffle.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ def inner_product(embedding: Column, query: Column | list[float]) -> Column:
     return F.aggregate(F.zip_with(embedding, other, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, b: a + b)
 
 
-def _hits(rows: DataFrame, score: Column) -> DataFrame:
-    return rows.where(F.col("embedding").isNotNull()).select("id", score.alias("score"), "text", "metadata", F.col("lamport").alias("version"))
+def scored(rows: DataFrame, query: list[float], *filters: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``score``, ``text``, ``metadata`` and ``version`` of the rows with a vector."""
+    kept = rows.where(all_of(*filters)).where(F.col("embedding").isNotNull())
+    return kept.select("id", inner_product(F.col("embedding"), query).alias("score"), "text", "metadata", F.col("lamport").alias("version"), *more)
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, *filters: Column) -> DataFrame:
     """The best ``k`` of live rows; ``k`` <= 0 gives nothing."""
-    hits = _hits(rows.where(all_of(*filters)), inner_product(F.col("embedding"), query))
-    return hits.orderBy(F.desc("score"), "id").limit(max(0, k))
+    return scored(rows, query, *filters).orderBy(F.desc("score"), "id").limit(max(0, k))
 
 
 def search(versions: DataFrame, query: list[float], k: int, *filters: Column, clock: int | None = None) -> DataFrame:
@@ -41,42 +43,58 @@ def search(versions: DataFrame, query: list[float], k: int, *filters: Column, cl
     return top_k(log.live(versions, clock), query, k, *filters)
 
 
+#: Scores that a worker computes at once.
+SCORES = 4_000_000
+
+
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, limit_bytes: int = 64_000_000) -> DataFrame:
     """The best ``k`` live rows for each query (``query_id``, ``query``).
 
-    The queries are a stated set: they go to all tasks in blocks of at most ``limit_bytes``, each
-    block over all rows. Returns ``query_id``, ``id``, ``score``, ``version``, ``rank``.
+    The queries are a stated set: they are dealt by hash into blocks of about ``limit_bytes``, which
+    are fetched and sent to all tasks one after the other, each block over all rows. Returns
+    ``query_id``, ``id``, ``score``, ``version``, ``rank``.
     """
-    found = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").collect()]
-    if not found or k <= 0:
-        return rows.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, score double, version bigint, rank int")
     kind = queries.schema["query_id"].dataType
-    size = max(1, limit_bytes // (8 * len(found[0][1])))
-    parts = [_candidates(rows, found[i : i + size], k, kind) for i in range(0, len(found), size)]
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.union(part)
+    empty = rows.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, id string, score double, version bigint")
+    asked = queries.select("query_id", "query")
+    blocks = 1 + 8 * (asked.agg(F.sum(F.size("query"))).first()[0] or 0) // limit_bytes
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    candidates = empty
+    for n in range(blocks if k > 0 else 0):
+        part = [tuple(r) for r in asked.where(block == n).collect()]
+        if part:
+            candidates = candidates.union(_candidates(rows, part, k, kind))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _candidates(rows: DataFrame, queries: list[tuple], k: int, kind: DataType) -> DataFrame:
-    names = [q for q, _ in queries]
-    matrix = rows.sparkSession.sparkContext.broadcast(np.array([v for _, v in queries], np.float64))
+    sent = rows.sparkSession.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64)))
     target = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = matrix.value
+        names, q = sent.value
+        names = pa.array(names, target)
+        best = np.full((len(q), k), -np.inf)
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
             ids = batch.column(0).to_pylist()
-            by_id = np.empty(len(ids), np.int64)
-            by_id[sorted(range(len(ids)), key=lambda i: ids[i].encode())] = np.arange(len(ids))
-            for name, scores in zip(names, q @ x.T):
-                best = np.lexsort((by_id, -scores))[:k] if len(ids) > 4 * k else np.arange(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), target), batch.column(0).take(pa.array(best)), pa.array(scores[best]), batch.column(2).take(pa.array(best))], ["query_id", "id", "score", "version"])
+            by_id = pa.array(sorted(range(n), key=lambda i: ids[i].encode()))
+            batch = batch.take(by_id)  # so that the first of ties are those of the least ids
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64).T
+            step = max(1, SCORES // n)
+            for at in range(0, len(q), step):
+                scores, seen = q[at : at + step] @ x, best[at : at + step]
+                top = np.partition(scores, n - k, axis=1)[:, n - k :] if n > k else scores
+                joined = np.concatenate([seen, top], axis=1)
+                best[at : at + step] = np.partition(joined, joined.shape[1] - k, axis=1)[:, joined.shape[1] - k :]
+                floor = best[at : at + step].min(axis=1)[:, None]
+                tied = scores == floor
+                query, row = np.nonzero((scores > floor) | (tied & (np.cumsum(tied, axis=1) <= k)))
+                hits = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query + at)), hits.column(0), pa.array(scores[query, row]), hits.column(2)], ["query_id", "id", "score", "version"])
 
     vectors = rows.where(F.col("embedding").isNotNull()).select("id", "embedding", F.col("lamport").alias("version"))
     return vectors.mapInArrow(run, f"query_id {kind.simpleString()}, id string, score double, version bigint")

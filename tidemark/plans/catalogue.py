@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import embed, quantize, tokenize
 from tidemark.operators import log, merge, search
 from tidemark.operators.filters import all_of, meta_eq
+from tidemark.sources.database import Database
 from tidemark.streaming import replicate
 
 QUERIES, ORACLES = {}, {}
@@ -36,6 +37,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of the session; in a temporary one only where all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def event_log(spark: SparkSession, sf_dir: str, vectors: bool = False, actor: str = "a") -> DataFrame:
     """events as a log; with ``vectors`` each version has the embedding of its number modulo their count."""
     rows = read(spark, sf_dir, "events").select(
@@ -107,11 +116,11 @@ def history_by_id(spark, sf_dir):
     return log.history(event_log(spark, sf_dir), "3").select("lamport", "actor_id", "tombstone", "text")
 
 
-@query(f"WITH {BOTH} SELECT id, count(*) AS n, string_agg(lamport || actor_id, ',' ORDER BY lamport, actor_id) AS versions FROM merged GROUP BY id")
+@query(f"WITH {BOTH} SELECT id, lamport // 1000000 AS part, count(*) AS n, string_agg(lamport || actor_id, ',' ORDER BY lamport, actor_id) AS versions FROM merged GROUP BY id, part")
 def history_grouped(spark, sf_dir):
     both = merge.crdt_merge(event_log(spark, sf_dir), second_log(spark, sf_dir))
     joined = F.array_join(F.transform("versions", lambda v: F.concat(v["lamport"].cast("string"), v["actor_id"])), ",")
-    return log.grouped_history(both).select("id", F.size("versions").cast("bigint").alias("n"), joined.alias("versions"))
+    return log.grouped_history(both).select("id", "part", F.size("versions").cast("bigint").alias("n"), joined.alias("versions"))
 
 
 @query(f"WITH {BOTH} SELECT id, lamport, actor_id, tombstone, text FROM merged {LATEST}")
@@ -127,7 +136,7 @@ def live_rows(spark, sf_dir):
 @query(f"""WITH {ELOG} SELECT id, lamport, CASE WHEN tombstone THEN last_value(CASE WHEN NOT tombstone THEN text END IGNORE NULLS)
   OVER (PARTITION BY id ORDER BY lamport, actor_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE text END AS text FROM elog""")
 def delete_carry_forward(spark, sf_dir):
-    return log.carried_forward(event_log(spark, sf_dir)).select("id", "lamport", "text")
+    return log.carried_forward(event_log(spark, sf_dir), ("text",)).select("id", "lamport", "text")
 
 
 @query(f"""WITH {ELOG}, gone AS (SELECT DISTINCT id FROM elog WHERE id::BIGINT % 7 = 0 UNION SELECT 'unknown'), l AS (SELECT id, text FROM elog {LATEST})
@@ -217,9 +226,12 @@ def search_filtered(spark, sf_dir):
     return _event_hits(spark, sf_dir, meta_eq("event_type", "click"))
 
 
-@query(_event_search("event_type = 'click' AND FALSE"))
+@query(_event_search("event_type = 'click' AND lamport % 3 = 1"))
 def search_multi_filter(spark, sf_dir):
-    return _event_hits(spark, sf_dir, meta_eq("event_type", "click"), meta_eq("event_type", "view"))
+    rows = event_log(spark, sf_dir, vectors=True)
+    banded = rows.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("band"), (F.col("lamport") % 3).cast("string"))))
+    hits = search.search(banded, first_vector(spark, sf_dir), 10, meta_eq("event_type", "click"), meta_eq("band", "1"))
+    return hits.select("id", score(), "version")
 
 
 @query(_event_search("event_type = 'view'"))
@@ -258,8 +270,9 @@ def shard_owner_counts(spark, sf_dir):
 def federated_merge(spark, sf_dir):
     rows, first = vectors(spark, sf_dir), first_vector(spark, sf_dir)
     number = F.col("id").cast("bigint")
-    parts = [rows.where((number % 3 == m) | ((number % 5 == 0) if m == 0 else F.lit(False))).withColumn("lamport", F.col("lamport") + m * 100_000) for m in range(3)]
-    return merge.merge_shards([search.top_k(p, first, 10) for p in parts], 10).select("id", score(), "version")
+    members = F.array_distinct(F.array_compact(F.array((number % 3).cast("int"), F.when(number % 5 == 0, 0))))
+    dealt = rows.withColumn("member", F.explode(members)).withColumn("lamport", F.col("lamport") + F.col("member") * 100_000)
+    return merge.merge_shards(search.scored(dealt, first, more=("member",)), 10).select("id", score(), "version")
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS normal FROM documents")
@@ -275,8 +288,8 @@ WORDS = "list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{
     SELECT doc_id, 'p:' || a || '_' || b FROM (SELECT doc_id, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1))
   SELECT doc_id, feature, count(*) AS n FROM f GROUP BY ALL""")
 def text_features(spark, sf_dir):
-    features = read(spark, sf_dir, "documents").select("doc_id", F.explode(embed.text_features(embed.normal_text(F.col("text")))).alias("feature"))
-    return features.groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
+    features = embed.counted(embed.text_features(embed.normal_text(F.col("text"))))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(features).alias("f")).select("doc_id", F.col("f.item").alias("feature"), "f.n")
 
 
 FOLD = """list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(feature, ''), lambda c: unicode(c)::UHUGEINT)),
@@ -291,6 +304,21 @@ def feature_hashes(spark, sf_dir):
     return words.select("feature", high.alias("high"), low.alias("low"))
 
 
+SPLIT = """list_reduce(list_prepend(state, list_transform([1, 2, 3, 4][:{k}], lambda n: n::UHUGEINT)), lambda h, k: list_transform([(h + k * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT],
+  lambda a: list_transform([(xor(a, a // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT],
+  lambda b: list_transform([(xor(b, b // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT], lambda c: xor(c, c // 2147483648::UHUGEINT))[1])[1])[1])"""
+
+
+@query(f"""WITH w AS (SELECT {WORDS} AS w FROM documents), f AS (
+    SELECT 'w:' || unnest(w) AS feature FROM w UNION SELECT 'p:' || a || '_' || b FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1)),
+  s AS (SELECT feature, {FOLD} AS state FROM f)
+  SELECT feature, {", ".join(f"({SPLIT.format(k=k)} % 384)::BIGINT AS b{k}" for k in range(1, 5))} FROM s""")
+def feature_buckets(spark, sf_dir):
+    """The buckets that each different word and pair is added to."""
+    features = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(embed.text_features(embed.normal_text(F.col("text"))))).alias("feature")).distinct()
+    return features.select("feature", embed.feature_buckets(F.col("feature")).alias("b")).select("feature", *[F.col("b")[k].alias(f"b{k + 1}") for k in range(4)])
+
+
 @query()
 def text_search_ids(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), embed.encoded(F.col("text")).alias("embedding"), "text", F.create_map(F.lit("lang"), "lang").alias("metadata"), (F.col("doc_id") + 1).alias("lamport"))
@@ -313,8 +341,8 @@ def recover_snapshot_tail(spark, sf_dir):
 
 @query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[ \\t\\n\\r.,!?;:\"''()\\[\\]{}\\-/\\\\@#$%^&*+=<>|~`]|[^ \\t\\n\\r.,!?;:\"''()\\[\\]{}\\-/\\\\@#$%^&*+=<>|~`]+')) AS word FROM documents) GROUP BY ALL")
 def pretokenize_simple(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(tokenize.simple_words(F.col("text"))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    words = embed.counted(tokenize.simple_words(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", F.col("w.item").alias("word"), "w.n")
 
 
 @query(f"""WITH {ELOG}, l AS (SELECT * FROM elog {LATEST})
@@ -340,6 +368,53 @@ def vector_norms(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.inner_product(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
+def new_database(spark: SparkSession) -> Database:
+    """An empty database of vectors alone in a folder of its own."""
+    return Database(spark, new_folder(spark, "database"), make=None, actor="a")
+
+
+def put_vectors(spark, sf_dir, db: Database, where: str) -> None:
+    rows = read(spark, sf_dir, "embeddings").where(where)
+    db.collection("vecs", bits=4).put(rows.select(F.col("vec_id").cast("string").alias("id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), "vec_id"), order="vec_id")
+
+
+@query("""WITH puts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 2, vec_id) AS lamport FROM embeddings),
+    gone AS (SELECT vec_id, (SELECT count(*) FROM embeddings) + row_number() OVER (ORDER BY vec_id::VARCHAR) AS lamport FROM embeddings WHERE vec_id % 10 = 0)
+  SELECT vec_id::VARCHAR AS id, lamport, FALSE AS tombstone FROM puts UNION ALL SELECT vec_id::VARCHAR, lamport, TRUE FROM gone""")
+def database_recovery(spark, sf_dir):
+    """Snapshot, later writes, another snapshot and deletes, read by another handle."""
+    db = new_database(spark)
+    put_vectors(spark, sf_dir, db, "vec_id % 2 = 0")
+    db.snapshot()
+    put_vectors(spark, sf_dir, db, "vec_id % 2 = 1")
+    db.snapshot()
+    db.collection("vecs").delete(read(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("id")))
+    return Database(spark, db.path, make=None).collection("vecs").versions().select("id", "lamport", "tombstone")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 2 = 0)
+  SELECT vec_id::VARCHAR AS id, n + row_number() OVER (ORDER BY vec_id) AS lamport FROM embeddings, n WHERE vec_id % 3 = 0""")
+def database_drop(spark, sf_dir):
+    """A dropped collection of the same name begins empty, with later clocks."""
+    db = new_database(spark)
+    put_vectors(spark, sf_dir, db, "vec_id % 2 = 0")
+    db.drop("vecs")
+    db.snapshot()
+    put_vectors(spark, sf_dir, db, "vec_id % 3 = 0")
+    return db.collection("vecs").live().select("id", "lamport")
+
+
+@query(f"""WITH hits AS (SELECT vec_id, label, {DOT} AS score, list_inner_product(x.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings x, (SELECT {FIRST} AS embedding) q WHERE vec_id % 10 <> 5)
+  SELECT vec_id::VARCHAR AS id, score FROM hits ORDER BY s DESC, vec_id::VARCHAR LIMIT 10""")
+def quantized_search(spark, sf_dir):
+    """The exact best 10 among the best 200 by quantized scores, over a snapshot and later deletes."""
+    db = new_database(spark)
+    put_vectors(spark, sf_dir, db, "TRUE")
+    db.snapshot()
+    db.collection("vecs").delete(read(spark, sf_dir, "embeddings").where("vec_id % 10 = 5").select(F.col("vec_id").cast("string").alias("id")))
+    return db.collection("vecs").search_quantized(first_vector(spark, sf_dir), 10, among=200).select("id", score())
+
+
 @query()
 def quantized_topk(spark, sf_dir):
     table = quantize.quantized(vectors(spark, sf_dir), 64, bits=4, seed=77)
@@ -356,7 +431,7 @@ def bpe_encode(spark, sf_dir):
 @query(f"WITH {ELOG} SELECT id, lamport, actor_id, text FROM elog")
 def replicate_once(spark, sf_dir):
     """Two appends, a follower that sees both, and a run with nothing new."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/replica-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "replica")
     rows = event_log(spark, sf_dir)
     for part in (rows.where("lamport % 2 = 0"), rows.where("lamport % 2 = 1 OR lamport % 4 = 0")):
         part.write.mode("append").partitionBy("collection").parquet(f"{folder}/log")

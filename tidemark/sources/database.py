@@ -1,8 +1,11 @@
 """Collections in a folder of Parquet tables.
 
-``log`` holds the versions, by collection; each write appends one batch. ``snapshot`` holds compacted
-history; ``collections`` holds what is pinned for each collection. All are plain Spark tables, so any
-file system that Spark reads will do, and Spark's commits keep half-written batches out of sight.
+``log`` holds the versions, by collection; each write appends one batch. A snapshot is the history up
+to some moment in files ordered by id, with the latest vectors quantized beside it; it takes the place
+of the log files that it covers. ``generations`` names the snapshot that counts, ``collections`` what
+is pinned for each collection. All are plain Spark tables, so any file system that Spark reads will
+do, and Spark's commits keep half-written batches out of sight. Conditions on collection, id and clock
+are set on the scans, before versions are compared.
 """
 
 from __future__ import annotations
@@ -10,18 +13,23 @@ from __future__ import annotations
 import re
 import secrets
 import time
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import quantize
 from tidemark.functions.embed import HashedEmbedding, encoded
 from tidemark.operators import log as views
 from tidemark.operators import merge, search
+from tidemark.operators.filters import all_of
 from tidemark.schema import COLUMNS, LOG_SCHEMA, checked, normalised
 
 CONFIG = "name string, dim int, bits int, seed bigint, provider string, changed bigint, dropped boolean"
+GENERATIONS = "generation bigint, changed bigint"
 PARTS = "collection"
+QUANTIZED = f"collection string, id string, text string, metadata map<string,string>, version bigint, {quantize.COLUMNS}"
 
 
 class Database:
@@ -62,51 +70,123 @@ class Database:
             raise ValueError(f"{name} has {row['bits']} bits, not {bits}")
         if row["provider"] != self.provider:
             raise ValueError(f"{name} was written with the encoder {row['provider']}, not {self.provider}")
-        return Collection(self, name)
+        return Collection(self, name, row["bits"], row["seed"])
 
     def drop(self, name: str) -> None:
         """Forgets a collection: later reads see versions after this only."""
         clock = self.collection(name).clock()
         self._pin(name, None, 2, clock, dropped=True)
 
+    def gone(self, name: str) -> int:
+        """The clock at which a collection was last dropped; 0 if it never was."""
+        rows = self._read("collections", CONFIG).where(F.col("dropped") & (F.col("name") == name))
+        return rows.agg(F.max("seed")).first()[0] or 0
+
+    def generation(self) -> int:
+        """The number of the snapshot that counts; 0 without one."""
+        return self._read("generations", GENERATIONS).agg(F.max("generation")).first()[0] or 0
+
     def written(self) -> DataFrame:
         """All rows of snapshot and log, those of dropped collections too."""
-        return self._read("snapshot", LOG_SCHEMA).unionByName(self._read("log", LOG_SCHEMA))
+        return self._read(f"snapshot/generation={self.generation()}", LOG_SCHEMA).unionByName(self._read("log", LOG_SCHEMA))
 
     def versions(self) -> DataFrame:
         """Snapshot and log together; what both hold counts once."""
-        both = self.written()
         dropped = self._read("collections", CONFIG).where("dropped").groupBy("name").agg(F.max("seed").alias("gone"))
+        both = self.written()
         kept = both.join(F.broadcast(dropped), both["collection"] == dropped["name"], "left").where("gone IS NULL OR lamport > gone")
         return views.dedup(kept.select(*COLUMNS))
 
     def snapshot(self) -> None:
-        """Compacts the history by id into files of bounded size; the log stays."""
-        clock = self._read("snapshot", LOG_SCHEMA).select(*merge.VERSION)
-        new = self.versions().join(clock, merge.VERSION, "left_anti")
-        new.repartition(PARTS, "id").sortWithinPartitions("id", "lamport", "actor_id").write.mode("append").option("maxRecordsPerFile", 1_000_000).partitionBy(PARTS).parquet(f"{self.path}/snapshot")
+        """Writes the next snapshot, with quantized vectors, and removes the files that it takes the place of.
+
+        Versions from before a drop are left out. A log file that is added meanwhile stays, and a
+        version that snapshot and log both hold counts once, so the removal may come late or not at all.
+        A reader that has begun on a removed file has to begin again; a follower that has not read the
+        log yet catches up from the snapshot (see ``replicate.catch_up``).
+        """
+        now = self.generation()
+        covered = self._read("log", LOG_SCHEMA).inputFiles()
+        target = f"snapshot/generation={now + 1}"
+        self._by_id(self.versions()).write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy(PARTS).parquet(f"{self.path}/{target}")
+        history = self._read(target, LOG_SCHEMA)
+        for row in self.collections().select("name", "bits", "seed").collect():  # a row for each collection
+            own = views.live(history.where(F.col("collection") == row["name"])).where(F.col("embedding").isNotNull())
+            dim = own.select(F.size("embedding")).first()
+            if dim and row["bits"] <= quantize.MOST_BITS:
+                made = quantize.quantized(own, dim[0], row["bits"], row["seed"]).withColumn(PARTS, F.lit(row["name"]))
+                made.write.mode("append").partitionBy(PARTS).parquet(f"{self.path}/quantized/generation={now + 1}")
+        self.spark.createDataFrame([(now + 1, time.time_ns())], GENERATIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+        self._remove([*covered, f"{self.path}/snapshot/generation={now}", f"{self.path}/quantized/generation={now}"])
+
+    @staticmethod
+    def _by_id(rows: DataFrame) -> DataFrame:
+        """Ordered by id, also within files; an id with very many versions is spread over several."""
+        return rows.repartitionByRange(PARTS, "id", "lamport").sortWithinPartitions(PARTS, "id", "lamport")
+
+    def _remove(self, paths: list[str]) -> None:
+        context = self.spark.sparkContext
+        for path in paths:
+            found = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(path) if ":/" in path else path)
+            found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
 
     def push_cold(self, target: str) -> None:
-        """Copies what is new in the log to cold storage. A streaming checkpoint there knows what was copied."""
-        source = self.spark.readStream.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
-        query = source.writeStream.format("parquet").partitionBy(PARTS).option("path", f"{target}/log").option("checkpointLocation", f"{target}/pushed").trigger(availableNow=True).start()
-        query.awaitTermination()
+        """Copies what is new in log and snapshot to cold storage, which is a database of its own.
+
+        A streaming checkpoint there knows which log files were copied; what a batch that is run again
+        copies twice counts once. A collection that was dropped
+        here stays there until ``forget_cold``.
+        """
+        cold = Database(self.spark, target, self.make, self.actor)
+        now = self.generation()
+        if now > cold.generation():
+            self._by_id(self._read(f"snapshot/generation={now}", LOG_SCHEMA)).write.mode("overwrite").partitionBy(PARTS).parquet(f"{target}/snapshot/generation={now}")
+            self.spark.createDataFrame([(now, time.time_ns())], GENERATIONS).coalesce(1).write.mode("append").parquet(f"{target}/generations")
+        pinned = self._read("collections", CONFIG).join(cold._read("collections", CONFIG), ["name", "changed"], "left_anti").select(*[c.split(" ")[0] for c in CONFIG.split(", ")])
+        pinned.coalesce(1).write.mode("append").parquet(f"{target}/collections")
+        if self._read("log", LOG_SCHEMA).inputFiles():
+            source = self.spark.readStream.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+            copied = lambda batch, _: batch.write.mode("append").partitionBy(PARTS).parquet(f"{target}/log")
+            source.writeStream.foreachBatch(copied).option("checkpointLocation", f"{target}/pushed").trigger(availableNow=True).start().awaitTermination()
+
+    def pull_cold(self, source: str) -> None:
+        """Appends to the log what cold storage holds and this database does not; run again, it adds nothing."""
+        cold = Database(self.spark, source, self.make, self.actor)
+        merge.unseen(self.written(), cold.written()).write.mode("append").partitionBy(PARTS).parquet(f"{self.path}/log")
+        pinned = cold._read("collections", CONFIG).join(self._read("collections", CONFIG), ["name", "changed"], "left_anti").select(*[c.split(" ")[0] for c in CONFIG.split(", ")])
+        pinned.coalesce(1).write.mode("append").parquet(f"{self.path}/collections")
+
+    def forget_cold(self, target: str, name: str) -> None:
+        """Removes a collection's files from cold storage."""
+        cold = Database(self.spark, target, self.make, self.actor)
+        for table in ("log", f"snapshot/generation={cold.generation()}"):
+            self._remove([f"{target}/{table}/{PARTS}={quote(name)}"])
+
+
+def quote(name: str) -> str:
+    """A collection's name as Spark writes it in a path."""
+    return re.sub(r'[\x00-\x1f"#%\'*/:=?\\\x7f{\[\]^]', lambda m: f"%{ord(m[0]):02X}", name)
 
 
 class Collection:
-    def __init__(self, db: Database, name: str):
-        self.db, self.name = db, name
+    def __init__(self, db: Database, name: str, bits: int = 2, seed: int = 0):
+        self.db, self.name, self.bits, self.seed = db, name, bits, seed
+
+    def written(self, clock: int | None = None) -> DataFrame:
+        """The rows since the last drop, up to a clock; a version may be there twice."""
+        rows = self.db.written().where((F.col("collection") == self.name) & (F.col("lamport") > self.db.gone(self.name)))
+        return rows if clock is None else views.as_of(rows, clock)
 
     def versions(self) -> DataFrame:
-        return self.db.versions().where(F.col("collection") == self.name)
+        return views.dedup(self.written())
 
     def clock(self) -> int:
         """The greatest clock, from before a drop too: clocks are never used again."""
         row = views.latest_clock(self.db.written().where(F.col("collection") == self.name)).first()
-        return row["clock"] if row else 0
+        return max(row["clock"] if row else 0, self.db.gone(self.name))
 
     def dim(self) -> int | None:
-        row = self.versions().where(~F.col("tombstone") & F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
+        row = self.written().where(~F.col("tombstone") & F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
         return row["n"] if row else None
 
     def _append(self, rows: DataFrame) -> None:
@@ -120,6 +200,7 @@ class Collection:
         for column, kind in (("text", "string"), ("embedding", "array<float>"), ("metadata", "map<string,string>")):
             if column not in rows.columns:
                 rows = rows.withColumn(column, F.lit(None).cast(kind))
+        rows = rows.select("id", "text", "embedding", "metadata", *([order] if order not in ("id", "text", "embedding", "metadata") else []))
         first = self.clock() + 1
         stamped = views.numbered(rows, order, "lamport", first)
         given = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -132,19 +213,42 @@ class Collection:
     def delete(self, ids: DataFrame) -> None:
         """Writes tombstones for the column ``id``, known or not."""
         numbered = views.numbered(ids.select("id"), "id", "seq").withColumn("collection", F.lit(self.name))
-        self._append(views.deletions(self.versions(), numbered, self.clock() + 1, self.db.actor))
+        self._append(views.deletions(self.written(), numbered, self.clock() + 1, self.db.actor))
 
     def history(self, id: str) -> DataFrame:
-        return views.history(self.versions(), id)
+        return views.history(self.written(), id)
 
     def live(self, clock: int | None = None) -> DataFrame:
-        return views.live(self.versions(), clock)
+        return views.live(self.written(clock))
 
-    def search_vector(self, query: list[float], k: int, *filters: Column, clock: int | None = None) -> DataFrame:
+    def _checked(self, query: list[float]) -> list[float]:
         dim = self.dim()
         if dim is not None and len(query) != dim:
             raise ValueError(f"the query has dimension {len(query)}, the collection {dim}")
-        return search.search(self.versions(), [float(x) for x in query], k, *filters, clock=clock)
+        return [float(x) for x in query]
+
+    def search_vector(self, query: list[float], k: int, *filters: Column, clock: int | None = None) -> DataFrame:
+        return search.top_k(self.live(clock), self._checked(query), k, *filters)
+
+    def search_quantized(self, query: list[float], k: int, *filters: Column, among: int = 0) -> DataFrame:
+        """The best ``k`` by estimated scores, or with ``among`` the best by exact scores among so many by estimated ones.
+
+        Vectors of the last snapshot are read in their quantized form; what the log has since is
+        quantized for the query. Returns ``id``, ``score``, ``version``.
+        """
+        asked = self._checked(query)
+        generation = self.db.generation()
+        mine = (F.col("collection") == self.name) & (F.col("lamport") > self.db.gone(self.name))
+        tail = views.latest(self.db._read("log", LOG_SCHEMA).where(mine))
+        stored = self.db._read(f"quantized/generation={generation}", QUANTIZED).where((F.col("collection") == self.name) & (F.col("version") > self.db.gone(self.name)))
+        old = stored.join(tail.select("id"), "id", "left_anti").drop("collection")
+        new = quantize.quantized(tail.where(~F.col("tombstone")), len(asked), self.bits, self.seed)
+        table = old.unionByName(new).where(all_of(*filters))
+        best = quantize.quantized_top_k(table, asked, max(k, among), self.bits, self.seed)
+        if not among:
+            return best
+        exact = search.scored(self.live(), asked).join(F.broadcast(best.select("id")), "id", "left_semi")  # ``among`` rows
+        return exact.select("id", "score", "version").orderBy(F.desc("score"), "id").limit(max(0, k))
 
     def search(self, text: str, k: int, *filters: Column, clock: int | None = None) -> DataFrame:
         if not self.db.make:
@@ -163,7 +267,16 @@ def federated_search(databases: list[Database], name: str, query: list[float] |
         if not databases[0].make:
             raise ValueError("texts need an encoder")
         query = databases[0].make().encode([query])[0].tolist()
-    return merge.merge_shards([db.collection(name).search_vector(query, k, *filters, clock=clock) for db in databases], k)
+    shards = [db.collection(name) for db in databases]
+    vector = [shard._checked(query) for shard in shards][0]
+    rows = [shard.live(clock).withColumn("member", F.lit(n)) for n, shard in enumerate(shards)]
+    return merge.merge_shards(search.scored(reduce(DataFrame.unionByName, rows), vector, *filters, more=("member",)), k)
+
+
+def owner(databases: dict[str, Database], name: str, id: str) -> str:
+    """The member that owns an id."""
+    spark = next(iter(databases.values())).spark
+    return spark.range(1).select(merge.owner_of(F.lit(name), F.lit(id), list(databases))).first()[0]
 
 
 def put_routed(databases: dict[str, Database], name: str, rows: DataFrame, order: str = "id") -> None:
@@ -171,3 +284,15 @@ def put_routed(databases: dict[str, Database], name: str, rows: DataFrame, order
     owned = rows.withColumn("owner", merge.owner_of(F.lit(name), F.col("id"), list(databases)))
     for member, db in databases.items():
         db.collection(name).put(owned.where(F.col("owner") == member).drop("owner"), order)
+
+
+def delete_routed(databases: dict[str, Database], name: str, ids: DataFrame) -> None:
+    """Writes each tombstone to the database of the member that owns its id."""
+    owned = ids.select("id", merge.owner_of(F.lit(name), F.col("id"), list(databases)).alias("owner"))
+    for member, db in databases.items():
+        db.collection(name).delete(owned.where(F.col("owner") == member))
+
+
+def history_routed(databases: dict[str, Database], name: str, id: str) -> DataFrame:
+    """All versions of an id, from the member that owns it."""
+    return databases[owner(databases, name, id)].collection(name).history(id)

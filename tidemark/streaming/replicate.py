@@ -27,9 +27,19 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_batch(spark: SparkSession, incoming: DataFrame, target: str) -> None:
-    """Appends what the target does not hold yet; a batch that is run again adds nothing."""
-    new = merge.unseen(stored(spark, target), incoming.select(*COLUMNS))
-    new.write.mode("append").partitionBy("collection").parquet(target)
+    """Appends what the target does not hold yet; a batch that is run again adds nothing.
+
+    Of the target only the clocks and, unless there are many, the collections of the batch are read.
+    """
+    rows = incoming.select(*COLUMNS)
+    span = rows.agg(F.min("lamport").alias("least"), F.max("lamport").alias("most")).first()
+    if span["least"] is None:
+        return
+    held = stored(spark, target).where(F.col("lamport").between(span["least"], span["most"]))
+    names = [r[0] for r in rows.select("collection").distinct().limit(1001).collect()]
+    if len(names) <= 1000:
+        held = held.where(F.col("collection").isin(names))
+    merge.unseen(held, rows).write.mode("append").partitionBy("collection").parquet(target)
 
 
 def follow(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
