@@ -68,6 +68,8 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total
     than a ``HOT``-th of them are few, whatever the size of the tables, so theirs are sent to all tasks.
     """
     hot = table.where(F.col(count) * HOT > total).drop(count)
+    if hot.isEmpty():
+        return rows.join(table.drop(count), on)
     mark = free_name([*rows.columns, *table.columns], "hot")
     marked = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), on, "left")
     usual = marked.where(F.col(mark).isNull()).select(*rows.columns).join(table.drop(count), on)

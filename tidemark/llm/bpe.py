@@ -32,8 +32,8 @@ from ._common import Remembered, slices, text_or_empty
 
 #: Fixed: how byte-level vocabularies of this family split a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces, pairs and words that a worker remembers at once.
-REMEMBERED, WORDS = 300_000, 600_000
+#: Pairs, words and other pieces that a worker remembers at once.
+PAIRS, WORDS, REMEMBERED = 300_000, 300_000, 100_000
 
 
 def byte_letters() -> list[str]:
@@ -80,7 +80,7 @@ class BacktrackingEncoder:
         self.ordered = all(self.made_at(part) < n for pair, n in self.rank.items() if self.halves.get("".join(pair)) == pair for part in pair)
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
         #: By left * top + right, if the merges leave such a pair as it is.
-        self.pairs = Remembered(self._compatible, REMEMBERED)
+        self.pairs = Remembered(self._compatible, PAIRS)
         self.known = Remembered(self._piece, REMEMBERED)
         self.spaced = Remembered(self._spaced, WORDS)
         texts = [b""] * top

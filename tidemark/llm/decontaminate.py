@@ -35,7 +35,7 @@ WINDOW = 10
 #: Nodes of an automaton; one takes about 90 bytes.
 MAX_NODES = 3_000_000
 #: Windows in a piece of an item; bytes of text that are taken apart at once.
-PIECE, SEGMENT = 1000, 1 << 20
+PIECE, SEGMENT = 1000, 1 << 18
 #: Blocks whose hits are gathered in one job.
 TOGETHER = 16
 RANGES = "array<struct<first:bigint,last:bigint>>"
