@@ -40,12 +40,6 @@ def test_text_functions_agree(spark):
     assert embed.normalise_text("ΑΣ İ") == "ασ i"
 
 
-def test_counted(spark):
-    rows = [(["b", "a", "b", "é", "a", "b"],), ([],), (None,), (["x"],)]
-    got = [r.n for r in spark.createDataFrame(rows, "x array<string>").coalesce(1).select(embed.counted(F.col("x")).alias("n")).collect()]
-    assert [x and [tuple(v) for v in x] for x in got] == [[("a", 2), ("b", 3), ("é", 1)], None, None, [("x", 1)]]
-
-
 def test_embedding_in_slices(monkeypatch):
     texts = [f"word{k} and word{k % 3} again" for k in range(50)]
     want = embed.HashedEmbedding().encode(texts)

@@ -172,18 +172,3 @@ def text_features(normal: Column) -> Column:
     words = F.filter(F.split(normal, " "), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.array(F.concat(F.lit("w:"), a), F.concat(F.lit("p:"), a, F.lit("_"), b)))
     return F.array_compact(F.flatten(pairs))
-
-
-def counted(items: Column) -> Column:
-    """An array's different items, each with its number, as an array of (item, n)."""
-
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return _let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(ordered))), lambda a, b: F.struct(F.get(ordered, a).alias("item"), (b - a).cast("bigint").alias("n"))))
-
-    return F.when(F.size(items) > 0, _let(F.array_sort(items), runs))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
