@@ -68,6 +68,30 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, limit_bytes: int =
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that may be among the best of each query: their queries, numbers and scores.
+
+    ``scores`` has a line for each query. ``best`` has each query's best scores so far and takes in the
+    new ones. Of equal scores the first rows count, and those equal to the least of the best are given too.
+    """
+    k = best.shape[1]
+    floor = best.min(axis=1)
+    if scores.shape[1] > k and np.isneginf(floor).any():
+        floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+    query, row = np.nonzero(scores >= floor[:, None])
+    score = scores[query, row]
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    first = place < k
+    query, row, score = query[first], row[first], score[first]
+    new = np.full(best.shape, -np.inf)
+    new[query, place[first]] = score
+    best[:] = np.partition(np.concatenate([best, new], axis=1), k, axis=1)[:, k:]
+    good = score >= best.min(axis=1)[query]
+    return query[good], row[good], score[good]
+
+
 def _candidates(rows: DataFrame, queries: list[tuple], k: int, kind: DataType) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64)))
     target = to_arrow_type(kind)
@@ -86,15 +110,9 @@ def _candidates(rows: DataFrame, queries: list[tuple], k: int, kind: DataType) -
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64).T
             step = max(1, SCORES // n)
             for at in range(0, len(q), step):
-                scores, seen = q[at : at + step] @ x, best[at : at + step]
-                top = np.partition(scores, n - k, axis=1)[:, n - k :] if n > k else scores
-                joined = np.concatenate([seen, top], axis=1)
-                best[at : at + step] = np.partition(joined, joined.shape[1] - k, axis=1)[:, joined.shape[1] - k :]
-                floor = best[at : at + step].min(axis=1)[:, None]
-                tied = scores == floor
-                query, row = np.nonzero((scores > floor) | (tied & (np.cumsum(tied, axis=1) <= k)))
+                query, row, score = _best(q[at : at + step] @ x, best[at : at + step])
                 hits = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(query + at)), hits.column(0), pa.array(scores[query, row]), hits.column(2)], ["query_id", "id", "score", "version"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query + at)), hits.column(0), pa.array(score), hits.column(2)], ["query_id", "id", "score", "version"])
 
     vectors = rows.where(F.col("embedding").isNotNull()).select("id", "embedding", F.col("lamport").alias("version"))
     return vectors.mapInArrow(run, f"query_id {kind.simpleString()}, id string, score double, version bigint")
