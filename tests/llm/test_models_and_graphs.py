@@ -166,7 +166,7 @@ def test_spotsigs_edits_in_sql(spark, odd_docs, tmp_path):
     db = duckdb.connect()
     db.register("documents", docs.toPandas())
     want = db.sql(spotsigs.REPORT_SQL).df()
-    got = spotsigs.edit_report(docs).toPandas()[list(want.columns)]
+    got = spotsigs.with_links(spotsigs.edit_report(docs), spotsigs.fingerprints(docs)).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
@@ -192,8 +192,11 @@ def test_spotsigs_order_of_documents(spark, monkeypatch, group):
     assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 200
 
 
-def test_spotsigs_join(spark, no_docs, monkeypatch):
+@pytest.mark.parametrize("block", [spotsigs.BLOCK, 3])
+def test_spotsigs_join(spark, no_docs, monkeypatch, block):
     monkeypatch.setattr(_common, "HOT", 200)
+    monkeypatch.setattr(spotsigs, "HOT", 200)
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").where("doc_id < 400")
     prints = spotsigs.fingerprints(docs)
     sets = {r.fingerprint: set(r.spots) for r in prints.collect()}
@@ -203,7 +206,10 @@ def test_spotsigs_join(spark, no_docs, monkeypatch):
         pairs, members = spotsigs.similar_sets(prints, threshold)
         assert {(r.left, r.right) for r in pairs.collect()} == want and members.count() == prints.count()
     assert want
+    linked = spotsigs.with_links(spotsigs.edit_report(docs), prints, 0.4).collect()
+    assert len(linked) == prints.count() and all(r.n_links == sum(r.fingerprint in pair for pair in want) for r in linked)
     assert spotsigs.similar_sets(spotsigs.fingerprints(no_docs))[0].count() == 0
+    assert spotsigs.with_links(spotsigs.edit_report(no_docs), spotsigs.fingerprints(no_docs)).count() == 0
 
 
 def test_url_rules(spark):

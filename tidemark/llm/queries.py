@@ -34,7 +34,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.edit_report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.with_links(spotsigs.edit_report(docs), spotsigs.fingerprints(docs))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

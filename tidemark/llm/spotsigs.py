@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, join_hot, let, text_or_empty
+from ._common import HOT, cut, free_name, join_hot, let, text_or_empty
 
 #: Fixed: common words that serve as anchors.
 ANCHORS = (
@@ -30,6 +30,8 @@ ANCHORS = (
 THRESHOLD = 0.8
 #: Text in a range of ids, and the most ranges (a place is found in two steps, in groups of 512).
 RANGE_BYTES, MOST_RANGES, GROUP = 32_000_000, 1 << 18, 512
+#: Sets with one spot that a task of the join holds against all others with it.
+BLOCK = 2000
 
 
 def anchor_pattern() -> str:
@@ -71,31 +73,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), signatures(text_or_empty(text_col)).alias("spots")).withColumn("fingerprint", fingerprint(F.col("spots")))
 
 
+def _sets(prints: DataFrame) -> DataFrame:
+    """Each different signature set once, under a number: ``set``, ``fingerprint``, ``n_rows`` and its spots as 64-bit hashes."""
+    hashed = prints.select("fingerprint", F.transform("spots", lambda x: F.xxhash64(x)).alias("spots"))
+    found = hashed.groupBy("fingerprint").agg(F.count("*").alias("n_rows"), F.first("spots").alias("spots"))
+    return cut(found.select(F.monotonically_increasing_id().alias("set"), "fingerprint", "n_rows", "spots"))
+
+
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of alike sets by number, ``a`` the smaller set (or the lower number), with their ``likeness``.
+
+    Spots that only one set has come first in the order of rarity and can't be shared, so they only take
+    up places at the start of a set, and neither the join nor the check needs to see them.
+    """
+    spots = sets.select("set", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
+    counts = cut(spots.groupBy("spot").agg(F.count("*").alias("count")).where("count > 1").withColumn("n_sets", F.col("count")))
+    total = sets.agg(F.sum(F.size("spots"))).first()[0] or 0
+    shared = join_hot(spots, counts, ["spot"], "n_sets", total).groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "spot"))).alias("shared"))
+    n = F.col("n")
+    room = n - F.ceil(n * threshold - 1e-9) + 1 - (n - F.size("shared"))
+    ordered = cut(shared.withColumn("room", room.cast("int")).where("room > 0"))
+    length_class = F.floor(F.log(n.cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else n.cast("bigint")
+    rarest = ordered.select("set", "n", length_class.alias("class"), F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("s"))
+    rarest = rarest.select("set", "n", "class", "s.spot", F.ceil(F.col("s.count") / BLOCK).alias("blocks"))
+    key = F.xxhash64("class", "spot", "block").alias("key")
+    early = rarest.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))).select(key, F.col("set").alias("a"), "n")
+    late = rarest.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    late = late.select(key, F.col("set").alias("b"), F.col("n").alias("m"))
+    fits = (F.col("m") >= n) & (n >= threshold * F.col("m") - 1e-9) & ((n < F.col("m")) | (F.col("a") < F.col("b")))
+    met = early.join(late, "key").where(fits).select("a", "b").distinct()
+    spots_of = F.transform("shared", lambda s: s["spot"])
+    left, right = ordered.select(F.col("set").alias("a"), "n", spots_of.alias("x")), ordered.select(F.col("set").alias("b"), F.col("n").alias("m"), spots_of.alias("y"))
+    both = met.join(left, "a").join(right, "b").select("a", "b", n, "m", F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.select("a", "b", (F.col("common") / (n + F.col("m") - F.col("common"))).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
+
+
 def similar_sets(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All pairs of different signature sets that are alike, and which rows have which set.
 
     ``prints`` comes from ``fingerprints``. Returns (pairs, members): pairs have ``left`` < ``right``
     (fingerprints, one for each class of equal sets) and ``likeness`` >= ``threshold``; members have
-    ``doc_id`` and ``fingerprint``. Equal sets are one class and never form pairs. An empty table
-    gives empty ones.
+    ``doc_id`` and ``fingerprint``. Equal sets are one class and never form pairs. Spots are told
+    apart by 64 bits of a hash. An empty table gives empty ones.
+    """
+    sets = _sets(prints)
+    names = sets.select("set", "fingerprint")
+    named = _links(sets, threshold).join(names.toDF("a", "left"), "a").join(names.toDF("b", "right"), "b")
+    return named.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "likeness"), prints.select("doc_id", "fingerprint")
+
+
+def with_links(report: DataFrame, prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``report`` with ``n_links``: to how many other classes of equal sets the row's own class is alike.
+
+    ``report`` has ``doc_id``, ``edited_sha256`` and ``fingerprint``, as from ``edit_report``, and
+    ``prints`` comes from ``fingerprints`` of the same documents; a fingerprint that ``prints`` lacks
+    has no links. Only counts of the links come out, however large a group of near copies is, and a
+    fingerprint that very many rows have is joined apart. An empty table gives an empty one.
     """
-    sets = cut(prints.groupBy("fingerprint").agg(F.first("spots").alias("spots")))
-    spots = sets.select("fingerprint", F.explode(F.transform("spots", lambda x: F.xxhash64(x))).alias("spot"))
-    counts = cut(spots.groupBy("spot").count().withColumn("n", F.col("count")))
-    ranked = join_hot(spots, counts, ["spot"], "n", counts.agg(F.sum("n")).first()[0] or 0)
-    ordered = ranked.groupBy("fingerprint").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "spot"))), lambda s: s["spot"]).alias("spots"))
-    size = F.size("spots")
-    length_class = F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else size.cast("bigint")
-    prefix = F.slice("spots", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    keyed = ordered.select("fingerprint", size.alias("n"), length_class.alias("class"), F.explode(prefix).alias("spot"))
-    late = keyed.select(F.col("fingerprint").alias("right"), F.col("n").alias("m"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), "spot")
-    fits = (F.col("m") >= F.col("n")) & (F.col("n") >= threshold * F.col("m") - 1e-9)
-    other = (F.col("n") < F.col("m")) | (F.col("fingerprint") < F.col("right"))
-    met = keyed.join(late, ["class", "spot"]).where(fits & other).select(F.col("fingerprint").alias("left"), "right").distinct()
-    a, b = sets.select(F.col("fingerprint").alias("left"), F.col("spots").alias("a")), sets.select(F.col("fingerprint").alias("right"), F.col("spots").alias("b"))
-    alike = met.join(a, "left").join(b, "right").select("left", "right", likeness(F.col("a"), F.col("b"), threshold).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
-    pairs = alike.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "likeness")
-    return pairs, prints.select("doc_id", "fingerprint")
+    sets = _sets(prints)
+    ends = _links(sets, threshold).select(F.explode(F.array("a", "b")).alias("set"))
+    links = cut(ends.groupBy("set").agg(F.count("*").alias("n_links")).join(sets.select("set", "fingerprint", "n_rows"), "set").drop("set"))
+    total = sets.agg(F.sum("n_rows")).first()[0] or 0
+    hot = links.where(F.col("n_rows") * HOT > total).select("fingerprint", F.col("n_links").alias("hot_links"))
+    spread = F.concat(F.lit("#"), "edited_sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    marked = report.join(F.broadcast(hot), "fingerprint", "left").withColumn("key", F.when(F.col("hot_links").isNull(), F.col("fingerprint")).otherwise(spread))
+    found = marked.join(links.select(F.col("fingerprint").alias("key"), "n_links"), "key", "left")
+    return found.select(*report.columns, F.coalesce("hot_links", "n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def with_next(docs: DataFrame, columns: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +215,7 @@ def spots_sql(text: str) -> str:
       FROM (SELECT {spots} AS s FROM (SELECT w, {places} AS c FROM (SELECT {words} AS w))))"""
 
 
-#: The report in DuckDB SQL.
+#: The report with links in DuckDB SQL.
 REPORT_SQL = f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next FROM documents
@@ -180,8 +223,15 @@ WITH base AS (
   SELECT doc_id, text, next, length(text) AS n_chars, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next, (length(text) // 2)::BIGINT) AS edited FROM base
 ), sets AS (
   SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {spots_sql("text")} AS a, {spots_sql("edited")} AS b, {spots_sql("next")} AS c FROM edits
+), spots AS (
+  SELECT f, len(a) AS n, unnest(a) AS spot FROM (SELECT DISTINCT sha256(array_to_string(a, ',')) AS f, a FROM sets)
+), alike AS (
+  SELECT x.f FROM spots x JOIN spots y ON x.spot = y.spot AND x.f <> y.f GROUP BY x.f, y.f, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= {THRESHOLD} - 1e-12
+), links AS (
+  SELECT f, count(*) AS n_links FROM alike GROUP BY f
 )
 SELECT doc_id, n_chars, edited_sha256, sha256(array_to_string(a, ',')) AS fingerprint, sha256(array_to_string(b, ',')) AS edited_fingerprint,
-       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS near_edited, len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) AS near_next
-FROM sets
+       len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS near_edited, len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) AS near_next,
+       coalesce(n_links, 0) AS n_links
+FROM sets LEFT JOIN links ON f = sha256(array_to_string(a, ','))
 """
