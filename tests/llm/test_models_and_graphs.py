@@ -194,7 +194,6 @@ def test_spotsigs_order_of_documents(spark, monkeypatch, group):
 
 @pytest.mark.parametrize("block", [spotsigs.BLOCK, 3])
 def test_spotsigs_join(spark, no_docs, monkeypatch, block):
-    monkeypatch.setattr(_common, "HOT", 200)
     monkeypatch.setattr(spotsigs, "HOT", 200)
     monkeypatch.setattr(spotsigs, "BLOCK", block)
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").where("doc_id < 400")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import HOT, cut, free_name, join_hot, let, text_or_empty
+from ._common import HOT, cut, free_name, let, text_or_empty
 
 #: Fixed: common words that serve as anchors.
 ANCHORS = (
@@ -80,16 +80,29 @@ def _sets(prints: DataFrame) -> DataFrame:
     return cut(found.select(F.monotonically_increasing_id().alias("set"), "fingerprint", "n_rows", "spots"))
 
 
+def _shared_spots(spots: DataFrame, total: int) -> DataFrame:
+    """``set``, ``spot`` and ``count``, the number of sets with the spot, where that is over 1.
+
+    Spots in over a ``HOT``-th of the ``total`` rows are few, whatever the size of the table; they are
+    found by way of 65,536 buckets, counted apart and sent to all tasks. The others are shuffled once.
+    """
+    bucketed = spots.withColumn("bucket", F.pmod("spot", F.lit(1 << 16)))
+    full = bucketed.groupBy("bucket").count().where(F.col("count") * HOT > total).select("bucket")
+    hot = cut(bucketed.join(F.broadcast(full), "bucket").groupBy("spot").count().where(F.col("count") * HOT > total))
+    usual = spots.join(F.broadcast(hot.select("spot")), "spot", "left_anti")
+    counted = usual.withColumn("count", F.count("*").over(Window.partitionBy("spot")))
+    return counted.unionByName(spots.join(F.broadcast(hot), "spot")).where("count > 1")
+
+
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of alike sets by number, ``a`` the smaller set (or the lower number), with their ``likeness``.
 
     Spots that only one set has come first in the order of rarity and can't be shared, so they only take
     up places at the start of a set, and neither the join nor the check needs to see them.
     """
-    spots = sets.select("set", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    counts = cut(spots.groupBy("spot").agg(F.count("*").alias("count")).where("count > 1").withColumn("n_sets", F.col("count")))
-    total = sets.agg(F.sum(F.size("spots"))).first()[0] or 0
-    shared = join_hot(spots, counts, ["spot"], "n_sets", total).groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "spot"))).alias("shared"))
+    sizes, spots = sets.select("set", F.size("spots").alias("n")), sets.select("set", F.explode("spots").alias("spot"))
+    rare_first = F.sort_array(F.collect_list(F.struct("count", "spot"))).alias("shared")
+    shared = _shared_spots(spots, sizes.agg(F.sum("n")).first()[0] or 0).repartition("set").groupBy("set").agg(rare_first).join(sizes, "set")
     n = F.col("n")
     room = n - F.ceil(n * threshold - 1e-9) + 1 - (n - F.size("shared"))
     ordered = cut(shared.withColumn("room", room.cast("int")).where("room > 0"))
